@@ -51,13 +51,21 @@ def _ascii_folds() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), expanding
 
 
+def _ranges(characters) -> str:
+    """A character class of the given characters as ranges."""
+    codes = sorted(map(ord, characters))
+    firsts = [c for c in codes if c - 1 not in set(codes)]
+    lasts = [c for c in codes if c + 1 not in set(codes)]
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(firsts, lasts))
+
+
 def fold_accents(text: Column) -> Column:
     """NFKD, then drop what is not ASCII. Pure ASCII rows are passed through;
     only rows holding an expanding character (ligatures, fractions) are mapped
     character by character."""
     source, target, expanding = _ascii_folds()
     pairs = F.create_map(*[F.lit(x) for pair in expanding.items() for x in pair])
-    in_class = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in expanding) + "]"
+    in_class = "[\\x{80}-\\x{10FFFF}&&[" + _ranges(expanding) + "]]"
     expanded = F.array_join(
         F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c)), ""
     )

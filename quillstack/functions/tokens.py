@@ -30,13 +30,19 @@ def search_pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SEARCH_PIECE), 0)
 
 
-def word_ngrams(tokens: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
-    """N-grams of several sizes in one array, words joined by a space."""
+def word_ngrams(words: str, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
+    """N-grams of several sizes in one array, words joined by a space.
+
+    ``words`` names a column, so that the words are split once per row.
+    """
+    tokens = F.col(words)
     nothing = F.array().cast("array<string>")
 
     def joined(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+        starts = F.sequence(F.lit(0), F.size(tokens) - n)
+        grams = F.transform(
+            starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)])
+        )
         return F.when(F.size(tokens) >= n, grams).otherwise(nothing)
 
     return F.concat(*[tokens if n == 1 else joined(n) for n in sizes])

@@ -109,19 +109,17 @@ def match_phrase(
         salted_join(tokens, leads, ["field", "term"], ["doc_id"])
         .filter(F.col("pos") >= F.col("offset"))
         .groupBy("query_id", "doc_id", "field")
-        .agg(F.collect_list(F.col("pos") - F.col("offset") + 1).alias("starts"))
+        .agg(F.collect_list(F.col("pos") - F.col("offset")).alias("starts"))
     )
+
+    def phrase_begins(start: Column) -> Column:
+        offsets = F.sequence(F.lit(0), F.size("phrase") - 1)
+        return F.forall(offsets, lambda i: F.get("terms", start + i) == F.get("phrase", i))
+
     per_field = (
         index.analysed.join(places, ["doc_id", "field"])
         .join(lead.drop("term", "offset"), ["query_id", "field"])
-        .withColumn(
-            "tf",
-            F.size(
-                F.filter(
-                    "starts", lambda s: F.slice(F.col("terms"), s, F.size("phrase")) == F.col("phrase")
-                )
-            ),
-        )
+        .withColumn("tf", F.size(F.filter("starts", phrase_begins)))
         .filter(F.col("tf") > 0)
         .select(
             "query_id",

@@ -38,11 +38,17 @@ CORPUS_SCHEMA = T.StructType(
 )
 
 
-def read_text_files(spark: SparkSession, folder: str) -> DataFrame:
-    """A1: one document per ``.txt`` file, numbered by the digits of its name."""
-    files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"([0-9]+)\.txt$", 1)
-    return files.select(number.cast("long").alias("doc_id"), F.col("value").alias("text"))
+def read_text_files(
+    spark: SparkSession, folder: str, number: str = r"([0-9]+)\.txt$", recursive: bool = False
+) -> DataFrame:
+    """A1: one document per ``.txt`` file, numbered by the digits in its path."""
+    files = (
+        spark.read.option("pathGlobFilter", "*.txt")
+        .option("recursiveFileLookup", recursive)
+        .text(folder, wholetext=True)
+    )
+    found = F.regexp_extract(F.col("_metadata.file_path"), number, 1)
+    return files.select(found.cast("long").alias("doc_id"), F.col("value").alias("text"))
 
 
 def read_metadata(
@@ -59,7 +65,8 @@ def write_metadata(meta: DataFrame, path: str, sep: str = "|") -> None:
     """A4: the metadata side of a snapshot. Empty strings and nulls stay apart."""
     (
         meta.write.option("sep", sep).option("header", True).option("escape", '"')
-        .option("emptyValue", '""').csv(path)
+        .option("emptyValue", '""').option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False).csv(path)
     )
 
 
