@@ -7,7 +7,9 @@ import importlib
 
 from quillstack.session import ship_package
 
-MODULES = ("search_queries", "text_queries", "prep_queries", "source_queries")
+MODULES = (
+    "search_queries", "text_queries", "prep_queries", "source_queries", "model_queries",
+)
 
 
 def _merged(attribute: str) -> dict:

@@ -38,14 +38,14 @@ def _decode(spark, folder):
     return docs.select("doc_id", tx.decode_utf8(F.encode("text", "ISO-8859-1")).alias("result"))
 
 
-def topic_counts(spark, folder):
-    docs = read_table(spark, folder, "documents")
-    return docs, features.term_counts(docs, "doc_id", model_tokens(F.col("text")))
+def topic_words(spark, folder):
+    words = model_tokens(F.col("text"))
+    return read_table(spark, folder, "documents").select("doc_id", words.alias("tokens"))
 
 
 def _term_counts(spark, folder):
     """D1"""
-    return topic_counts(spark, folder)[1]
+    return features.term_counts(topic_words(spark, folder), "doc_id", F.col("tokens"))
 
 
 def _ngrams(spark, folder):
@@ -55,26 +55,28 @@ def _ngrams(spark, folder):
     return items.select("item_id", F.explode(word_ngrams("words")).alias("gram"))
 
 
-def classifier_counts(spark, folder):
+def classifier_grams(spark, folder):
     words = model_tokens(F.col("text"), lowercase=False)
     docs = read_table(spark, folder, "documents").select("doc_id", words.alias("words"))
-    return docs, features.term_counts(docs, "doc_id", word_ngrams("words"))
+    return docs.select("doc_id", word_ngrams("words").alias("tokens"))
 
 
-def _vocabulary(counted, bounds):
+def _vocabulary(tokenised, bounds):
     def run(spark, folder):
-        docs, counts = counted(spark, folder)
-        return features.vocabulary(counts, features.corpus_size(docs), **bounds)
+        docs = tokenised(spark, folder)
+        totals = features.term_totals(docs, F.col("tokens"))
+        return features.vocabulary(totals, docs.count(), **bounds)
 
     return run
 
 
-def _tfidf(counted, bounds, sublinear):
+def _tfidf(tokenised, bounds, sublinear):
     def run(spark, folder):
-        docs, counts = counted(spark, folder)
-        size = features.corpus_size(docs)
-        vocab = features.vocabulary(counts, size, **bounds)
-        weights = features.tfidf(counts, vocab, size.first()["n"], "doc_id", sublinear)
+        docs = tokenised(spark, folder)
+        n_docs = docs.count()
+        counts = features.term_counts(docs, "doc_id", F.col("tokens"))
+        vocab = features.vocabulary(features.document_frequencies(counts), n_docs, **bounds)
+        weights = features.tfidf(counts, vocab, n_docs, "doc_id", sublinear)
         return weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
     return run
@@ -94,10 +96,10 @@ QUERIES = {
     "decode_bytes": _decode,  # C13
     "tokens": _term_counts,  # D1
     "ngrams": _ngrams,  # D2
-    "vocabulary": _vocabulary(topic_counts, features.TOPIC_BOUNDS),  # D3
-    "ngram_vocabulary": _vocabulary(classifier_counts, features.CLASSIFIER_BOUNDS),  # D2, D3
-    "tfidf": _tfidf(topic_counts, features.TOPIC_BOUNDS, False),  # D4
-    "tfidf_sublinear": _tfidf(classifier_counts, features.CLASSIFIER_BOUNDS, True),  # D5
+    "vocabulary": _vocabulary(topic_words, features.TOPIC_BOUNDS),  # D3
+    "ngram_vocabulary": _vocabulary(classifier_grams, features.CLASSIFIER_BOUNDS),  # D2, D3
+    "tfidf": _tfidf(topic_words, features.TOPIC_BOUNDS, False),  # D4
+    "tfidf_sublinear": _tfidf(classifier_grams, features.CLASSIFIER_BOUNDS, True),  # D5
 }
 
 # --- the same results in SQL -------------------------------------------------

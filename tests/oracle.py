@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import glob
 import os
+import signal
 import sys
 import time
 import traceback
@@ -45,21 +46,28 @@ def difference(spark_frame, sql_frame) -> str | None:
     return f"{len(bad)} of {len(left)} rows differ, first {bad[0]}" if bad else None
 
 
+def _too_slow(*_):
+    raise TimeoutError("time limit")
+
+
 def main() -> int:
     from quillstack.plans.registry import all_queries, all_sql
     from quillstack.session import local_session
 
     parser = argparse.ArgumentParser()
     parser.add_argument("-d", default="/root/testdata/sf0.01")
+    parser.add_argument("-t", type=int, default=90, help="seconds per query")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     spark, con = local_session("8"), duck(args.d)
     queries, sql = all_queries(), all_sql()
+    signal.signal(signal.SIGALRM, _too_slow)
     failed = []
     for name in queries:
         if args.names and not any(name.startswith(n) for n in args.names):
             continue
         begin = time.time()
+        signal.alarm(args.t)
         try:
             frame = queries[name](spark, args.d).toPandas()
             took = time.time() - begin
@@ -74,6 +82,8 @@ def main() -> int:
             if os.environ.get("TRACE"):
                 traceback.print_exc()
             frame = ()
+            spark.sparkContext.cancelAllJobs()
+        signal.alarm(0)
         kind = "sql" if name in sql else "rows"
         print(f"{'FAIL' if problem else 'ok  '} {name:28s} {kind:4s} {len(frame):8d} rows "
               f"{took:6.2f}s {sql_took:6.2f}s {problem or ''}", flush=True)
