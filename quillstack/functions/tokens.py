@@ -48,8 +48,7 @@ def word_ngrams(words: str, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
     return F.concat(*[tokens if n == 1 else joined(n) for n in sizes])
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def running_starts(lengths: pa.Array) -> pa.Array:
+def _running_starts(lengths: pa.Array) -> pa.Array:
     """Start offset of each piece, given the piece lengths of one row.
 
     One cumulative sum over the whole Arrow batch, re-based at each row.
@@ -65,6 +64,11 @@ def running_starts(lengths: pa.Array) -> pa.Array:
     )
 
 
+# Declared nondeterministic so that the optimiser neither copies the call nor
+# moves it into another expression.
+running_starts = F.arrow_udf(_running_starts, T.ArrayType(T.IntegerType())).asNondeterministic()
+
+
 def with_starts(pieces: Column) -> Column:
     """Pieces as ARRAY<STRUCT<piece, start>>, start in characters from zero."""
     return F.arrays_zip(

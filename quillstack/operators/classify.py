@@ -7,7 +7,6 @@ stochastic solver of the same objective.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LinearSVC, OneVsRest, OneVsRestModel
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from quillstack.functions.text import clean_text
 from quillstack.functions.tokens import model_tokens, word_ngrams
 from quillstack.operators import features
-from quillstack.session import materialise
+from quillstack.session import materialise, path_exists, spread
 
 ALPHA = 1e-5
 EPOCHS = 50
@@ -58,11 +57,9 @@ class TextClassifier:
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextClassifier | None:
         """None when there is no model at the path."""
-        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/model")
-        files = marker.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not files.exists(marker):
+        if not path_exists(spark, f"{path}/model"):
             return None
-        terms = features.load_terms(spark, os.path.join(path, "terms"))
+        terms = features.load_terms(spark, f"{path}/terms")
         return TextClassifier(terms, OneVsRestModel.load(f"{path}/model"))
 
 
@@ -79,7 +76,7 @@ def train(
     grams = _grams(source, clean)
     terms = features.fit_terms(grams, F.col("__grams"), **features.CLASSIFIER_BOUNDS)
     vectors = _features(source, terms, clean).select("label", "features")
-    stored = materialise(vectors, "classifier-features")
+    stored = spread(materialise(vectors, "classifier-features"))
     machine = LinearSVC(regParam=ALPHA, maxIter=EPOCHS, standardization=False)
     return TextClassifier(terms, OneVsRest(classifier=machine, parallelism=parallelism).fit(stored))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.clustering import LDA, LocalLDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from quillstack.functions.text import first_half, second_half
 from quillstack.functions.tokens import model_tokens
 from quillstack.operators import features
 from quillstack.operators.nmf import NmfModel, fit_nmf
-from quillstack.session import materialise
+from quillstack.session import materialise, path_exists, spread
 
 COMPONENTS = 30
 TOP_WORDS = 10
@@ -53,6 +54,27 @@ class TopicModel:
             "indices", "values"
         )
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        features.save_terms(spark, self.terms, f"{path}/terms")
+        if self.lda is not None:
+            self.lda.write().overwrite().save(f"{path}/lda")
+        else:
+            rows = [(t, row.tolist()) for t, row in enumerate(self.nmf.h)]
+            table = spark.createDataFrame(rows, "topic int, weights array<double>")
+            table.write.mode("overwrite").parquet(f"{path}/nmf")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> TopicModel | None:
+        """None when there is no model at the path."""
+        if path_exists(spark, f"{path}/lda"):
+            terms = features.load_terms(spark, f"{path}/terms")
+            return TopicModel("lda", terms, lda=LocalLDAModel.load(f"{path}/lda"))
+        if path_exists(spark, f"{path}/nmf"):
+            rows = spark.read.parquet(f"{path}/nmf").orderBy("topic").collect()
+            h = np.array([r["weights"] for r in rows])
+            return TopicModel("nmf", features.load_terms(spark, f"{path}/terms"), nmf=NmfModel(h, ()))
+        return None
+
     def word_weights(self, spark: SparkSession) -> DataFrame:
         """(topic, term, weight): at most components x vocabulary rows."""
         if self.lda is not None:
@@ -88,8 +110,9 @@ def train_topics(
     terms = features.fit_terms(tokenised, F.col("tokens"), **features.TOPIC_BOUNDS)
     if kind == "nmf":
         stored = materialise(_rows(source, terms, clean).select("indices", "values"), "tfidf-rows")
-        return TopicModel(kind, terms, nmf=fit_nmf(stored, len(terms.words), components, rounds))
-    stored = materialise(_counts(source, terms, clean).select("__counts"), "term-counts")
+        model = fit_nmf(spread(stored), len(terms.words), components, rounds)
+        return TopicModel(kind, terms, nmf=model)
+    stored = spread(materialise(_counts(source, terms, clean).select("__counts"), "term-counts"))
     lda = LDA(
         k=components,
         maxIter=max(1, round(passes / subsampling)),
@@ -104,7 +127,11 @@ def train_topics(
         featuresCol="__counts",
         topicDistributionCol="__mix",
     )
-    return TopicModel(kind, terms, lda=lda.fit(stored))
+    kept = stored.persist()
+    try:
+        return TopicModel(kind, terms, lda=lda.fit(kept))
+    finally:
+        kept.unpersist()
 
 
 def topic_words(weights: DataFrame, n: int = TOP_WORDS) -> DataFrame:

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.text import first_half, second_half
 from quillstack.operators import classify, prep, similar, topics
-from quillstack.session import materialise, new_path, read_table
+from quillstack.session import materialise, new_path, read_documents, read_table, spread, stored_once
 
 
 def _clean_documents(spark, folder):
     """Cleaned once and stored: the split, training and prediction all read it."""
-    docs = read_table(spark, folder, "documents")
-    return materialise(classify.with_clean_text(docs).drop("text"), "clean")
+    docs = read_documents(spark, folder)
+    cleaned = classify.with_clean_text(docs).drop("text")
+    path = stored_once(spark, folder, "clean", cleaned.write.parquet)
+    return spread(spark.read.schema(cleaned.schema).parquet(path), "doc_id")
 
 
 def _labelled(spark, folder):
@@ -51,7 +53,7 @@ def _rounded(report):
 
 def classify_report(spark, folder):
     """E3 on a prediction by fixed words"""
-    docs = read_table(spark, folder, "documents")
+    docs = read_documents(spark, folder)
     padded = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
     rule = (
         F.when(padded.contains(" the "), "en")
@@ -65,7 +67,10 @@ def classify_report(spark, folder):
 def _topic_model(kind):
     def run(spark, folder):
         docs = _clean_documents(spark, folder)
-        return docs, topics.train_topics(docs, kind)
+        path = stored_once(
+            spark, folder, kind, lambda p: topics.train_topics(docs, kind).save(spark, p)
+        )
+        return docs, topics.TopicModel.load(spark, path)
 
     return run
 
@@ -99,7 +104,7 @@ def _coherence(kind):
 
 def topic_words(spark, folder):
     """F4 on given weights: word counts per language"""
-    docs = read_table(spark, folder, "documents")
+    docs = read_documents(spark, folder)
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
     counts = docs.select(F.col("lang").alias("topic"), F.explode(words).alias("term"))
     weights = counts.groupBy("topic", "term").agg(F.count("*").cast("double").alias("weight"))
@@ -141,7 +146,7 @@ def similar_docs_blocks(spark, folder):
 def similar_response(spark, folder):
     """F8, C11, B7"""
     vectors = _vectors(spark, folder)
-    texts = read_table(spark, folder, "documents").select("doc_id", "text")
+    texts = read_documents(spark, folder).select("doc_id", "text")
     docs = vectors.select("doc_id", "label").join(texts, "doc_id")
     names = read_table(spark, folder, "nation").select(
         F.col("n_nationkey").alias("code"), F.col("n_name").alias("name")

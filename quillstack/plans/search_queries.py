@@ -9,7 +9,7 @@ from quillstack.operators import search
 from quillstack.operators.highlight import answer_fragments, highlights
 from quillstack.operators.search_index import SearchIndex
 from quillstack.operators.suggest import suggestions
-from quillstack.session import read_table
+from quillstack.session import read_documents, read_table
 
 FIELDS = ("text", "title")
 
@@ -21,7 +21,7 @@ UNKNOWN = {"s1": "thatx whihc", "s2": "erestt lesz dansx", "s3": "with that"}
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "documents")
+    docs = read_documents(spark, folder)
     return docs.withColumn("title", F.substring_index("text", "\n", 1))
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from quillstack.functions import text as tx
 from quillstack.functions.tokens import model_tokens, word_ngrams
 from quillstack.operators import features
-from quillstack.session import read_table
+from quillstack.session import read_documents, read_table
 
 
 def _on_documents(column, out: str = "result"):
     def run(spark, folder):
-        return read_table(spark, folder, "documents").select("doc_id", column(F.col("text")).alias(out))
+        return read_documents(spark, folder).select("doc_id", column(F.col("text")).alias(out))
 
     return run
 
@@ -27,20 +27,20 @@ def _on_pages(column):
 def _halves(spark, folder):
     """C12"""
     t = F.col("text")
-    return read_table(spark, folder, "documents").select(
+    return read_documents(spark, folder).select(
         "doc_id", tx.first_half(t).alias("first_half"), tx.second_half(t).alias("second_half")
     )
 
 
 def _decode(spark, folder):
     """C13 on Latin-1 bytes: every accented letter is an invalid UTF-8 byte."""
-    docs = read_table(spark, folder, "documents")
+    docs = read_documents(spark, folder)
     return docs.select("doc_id", tx.decode_utf8(F.encode("text", "ISO-8859-1")).alias("result"))
 
 
 def topic_words(spark, folder):
     words = model_tokens(F.col("text"))
-    return read_table(spark, folder, "documents").select("doc_id", words.alias("tokens"))
+    return read_documents(spark, folder).select("doc_id", words.alias("tokens"))
 
 
 def _term_counts(spark, folder):
@@ -57,7 +57,7 @@ def _ngrams(spark, folder):
 
 def classifier_grams(spark, folder):
     words = model_tokens(F.col("text"), lowercase=False)
-    docs = read_table(spark, folder, "documents").select("doc_id", words.alias("words"))
+    docs = read_documents(spark, folder).select("doc_id", words.alias("words"))
     return docs.select("doc_id", word_ngrams("words").alias("tokens"))
 
 

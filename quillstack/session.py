@@ -37,6 +37,25 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on a table that arrives in fewer files than there are cores.
+
+    A table of many files keeps its own partitions and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The document table for work that is heavy per row."""
+    return spread(read_table(spark, folder, "documents"), "doc_id")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -66,6 +85,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_stages: dict[tuple[str, str, str], str] = {}
+
+
+def stored_once(spark: SparkSession, folder: str, label: str, write) -> str:
+    """Path of a stage of an input folder, written by ``write(path)`` at first use
+    in this application and read by everything after it."""
+    stage = (spark.sparkContext.applicationId, folder, label)
+    if stage not in _stages:
+        path = new_path(spark, label)
+        write(path)
+        _stages[stage] = path
+    return _stages[stage]
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, so that they
     can import it wherever the driver was started."""
