@@ -1,6 +1,8 @@
 """H1, H2: sentences with character offsets, and the token stream of a document.
 
-Everything here works inside a row: a document is never spread over tasks.
+Everything here works inside a row: a document is never spread over tasks. Arrays
+are exploded in the outer form throughout, because for the plain form the optimiser
+adds a size test that would compute the whole array a second time.
 """
 
 from __future__ import annotations
@@ -58,7 +60,11 @@ def with_sentences(docs: DataFrame, text: str = "text", out: str = "sentences")
 def sentences(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """H1: (key, sentence, text, start_char, end_char)"""
     split = with_sentences(docs.select(key, text), text, "__s")
-    return split.select(key, F.posexplode("__s").alias("sentence", "s")).select(key, "sentence", "s.*")
+    return (
+        split.select(key, F.posexplode_outer("__s").alias("sentence", "s"))
+        .filter(F.col("s").isNotNull())
+        .select(key, "sentence", "s.*")
+    )
 
 
 def sentence_tokens(sentence: Column) -> Column:

@@ -170,7 +170,7 @@ def half_coherence(pairs: DataFrame, first: str, second: str) -> DataFrame:
     """
     units = pairs.select(_unit(F.col(first)).alias("a"), _unit(F.col(second)).alias("b"))
     per_dimension = units.select(
-        F.posexplode(F.arrays_zip("a", "b")).alias("dimension", "x")
+        F.posexplode_outer(F.arrays_zip("a", "b")).alias("dimension", "x")
     ).groupBy("dimension").agg(
         F.sum("x.a").alias("sum_a"),
         F.sum("x.b").alias("sum_b"),

@@ -79,7 +79,7 @@ def _topic_mixes(kind):
     def run(spark, folder):
         docs, model = _topic_model(kind)(spark, folder)
         mixed = model.mix(docs).select("doc_id", topics.top_topics(F.col("topics")).alias("t"))
-        return mixed.select("doc_id", F.posexplode("t").alias("place", "entry")).select(
+        return mixed.select("doc_id", F.posexplode_outer("t").alias("place", "entry")).select(
             "doc_id", "place", "entry.topic", "entry.weight"
         )
 
@@ -121,7 +121,7 @@ def top_topics(spark, folder):
     """F5 on given vectors, made non-negative"""
     mix = F.transform("vec", F.abs)
     best = _vectors(spark, folder).select("doc_id", topics.top_topics(mix).alias("t"))
-    return best.select("doc_id", F.posexplode("t").alias("place", "entry")).select(
+    return best.select("doc_id", F.posexplode_outer("t").alias("place", "entry")).select(
         "doc_id", "place", "entry.topic", "entry.weight"
     )
 
