@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quillstack.functions.text import clean_text
 from quillstack.functions.tokens import model_tokens, word_ngrams
 from quillstack.operators import features
-from quillstack.session import materialise, path_exists, spread
+from quillstack.session import materialise, path_exists
 
 ALPHA = 1e-5
 EPOCHS = 50
@@ -76,7 +76,7 @@ def train(
     grams = _grams(source, clean)
     terms = features.fit_terms(grams, F.col("__grams"), **features.CLASSIFIER_BOUNDS)
     vectors = _features(source, terms, clean).select("label", "features")
-    stored = spread(materialise(vectors, "classifier-features"))
+    stored = materialise(vectors, "classifier-features")
     machine = LinearSVC(regParam=ALPHA, maxIter=EPOCHS, standardization=False)
     return TextClassifier(terms, OneVsRest(classifier=machine, parallelism=parallelism).fit(stored))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.text import first_half, second_half
 from quillstack.operators import classify, prep, similar, topics
-from quillstack.session import materialise, new_path, read_documents, read_table, spread, stored_once
+from quillstack.session import read_documents, read_table, spread, stored_once
 
 
 def _clean_documents(spark, folder):
@@ -17,20 +17,29 @@ def _clean_documents(spark, folder):
     return spread(spark.read.schema(cleaned.schema).parquet(path), "doc_id")
 
 
-def _labelled(spark, folder):
+def labelled(spark, folder):
+    """The cleaned documents with class number and split, and the class names."""
     docs = _clean_documents(spark, folder)
     names = classify.class_numbers(docs, "lang")
     split = prep.stratified_split(docs, "lang", "doc_id").select("doc_id", "split")
     coded = docs.join(names.select(F.col("code").alias("label"), F.col("name").alias("lang")), "lang")
-    return materialise(coded.join(split, "doc_id"), "labelled"), names
+    joined = coded.join(split, "doc_id")
+    path = stored_once(spark, folder, "labelled", joined.write.parquet)
+    return spread(spark.read.schema(joined.schema).parquet(path), "doc_id"), names
+
+
+def classifier(spark, folder, docs):
+    """Trained on the train side at first use, then loaded."""
+    train = docs.filter(F.col("split") == "train")
+    path = stored_once(
+        spark, folder, "classifier", lambda p: classify.train(train, "label").save(spark, p)
+    )
+    return classify.TextClassifier.load(spark, path)
 
 
 def _predicted(spark, folder):
-    """Train on the train side, store and load the model, predict the test side."""
-    docs, names = _labelled(spark, folder)
-    path = new_path(spark, "classifier")
-    classify.train(docs.filter(F.col("split") == "train"), "label").save(spark, path)
-    model = classify.TextClassifier.load(spark, path)
+    docs, names = labelled(spark, folder)
+    model = classifier(spark, folder, docs)
     predicted = model.predict(docs.filter(F.col("split") == "test"))
     return prep.decode_label(predicted, names, "pred_label_num", "pred_label_str", "doc_id")
 
@@ -64,7 +73,7 @@ def classify_report(spark, folder):
     return _rounded(classify.report(docs.select("lang", rule.alias("pred")), "lang", "pred"))
 
 
-def _topic_model(kind):
+def topic_model(kind):
     def run(spark, folder):
         docs = _clean_documents(spark, folder)
         path = stored_once(
@@ -77,7 +86,7 @@ def _topic_model(kind):
 
 def _topic_mixes(kind):
     def run(spark, folder):
-        docs, model = _topic_model(kind)(spark, folder)
+        docs, model = topic_model(kind)(spark, folder)
         mixed = model.mix(docs).select("doc_id", topics.top_topics(F.col("topics")).alias("t"))
         return mixed.select("doc_id", F.posexplode_outer("t").alias("place", "entry")).select(
             "doc_id", "place", "entry.topic", "entry.weight"
@@ -88,7 +97,7 @@ def _topic_mixes(kind):
 
 def _model_words(kind):
     def run(spark, folder):
-        _, model = _topic_model(kind)(spark, folder)
+        _, model = topic_model(kind)(spark, folder)
         return topics.topic_words(model.word_weights(spark))
 
     return run
@@ -96,7 +105,7 @@ def _model_words(kind):
 
 def _coherence(kind):
     def run(spark, folder):
-        docs, model = _topic_model(kind)(spark, folder)
+        docs, model = topic_model(kind)(spark, folder)
         return topics.model_coherence(model, docs)
 
     return run

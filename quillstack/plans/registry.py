@@ -9,7 +9,7 @@ from quillstack.session import ship_package
 
 MODULES = (
     "search_queries", "text_queries", "prep_queries", "source_queries", "model_queries",
-    "language_queries",
+    "language_queries", "enrich_queries",
 )
 
 

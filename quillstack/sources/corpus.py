@@ -41,7 +41,10 @@ CORPUS_SCHEMA = T.StructType(
 def read_text_files(
     spark: SparkSession, folder: str, number: str = r"([0-9]+)\.txt$", recursive: bool = False
 ) -> DataFrame:
-    """A1: one document per ``.txt`` file, numbered by the digits in its path."""
+    """A1: one document per ``.txt`` file, numbered by the digits in its path.
+
+    Spark may leave out files of zero bytes; B1 drops empty texts in any case.
+    """
     files = (
         spark.read.option("pathGlobFilter", "*.txt")
         .option("recursiveFileLookup", recursive)
