@@ -43,12 +43,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on a table that arrives in fewer files than there are cores.
-
-    A table of many files keeps its own partitions and is not shuffled.
-    """
+    """Use all cores on a stored table that is read in fewer pieces than there are
+    cores. A large table has enough pieces of its own and is not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:

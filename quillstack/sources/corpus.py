@@ -24,6 +24,10 @@ METADATA_SCHEMA = T.StructType(
     ]
 )
 
+# Written for nulls, so that empty strings stay apart from them. Fields that are
+# missing altogether are read as null too.
+NULL = r"\N"
+
 CORPUS_SCHEMA = T.StructType(
     [
         METADATA_SCHEMA["doc_id"],
@@ -60,7 +64,7 @@ def read_metadata(
     """A2: delimited metadata with a header and a declared schema."""
     return (
         spark.read.schema(schema).option("sep", sep).option("header", True)
-        .option("multiLine", True).option("escape", '"').csv(path)
+        .option("multiLine", True).option("escape", '"').option("nullValue", NULL).csv(path)
     )
 
 
@@ -68,7 +72,7 @@ def write_metadata(meta: DataFrame, path: str, sep: str = "|") -> None:
     """A4: the metadata side of a snapshot. Empty strings and nulls stay apart."""
     (
         meta.write.option("sep", sep).option("header", True).option("escape", '"')
-        .option("emptyValue", '""').option("ignoreLeadingWhiteSpace", False)
+        .option("nullValue", NULL).option("emptyValue", '""').option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False).csv(path)
     )
 
