@@ -24,7 +24,7 @@ def _merged(attribute: str) -> dict:
     return out
 
 
-def _with_package(query):
+def with_package(query):
     @functools.wraps(query)
     def run(spark, folder):
         ship_package(spark)
@@ -34,7 +34,7 @@ def _with_package(query):
 
 
 def all_queries() -> dict:
-    return {name: _with_package(query) for name, query in _merged("QUERIES").items()}
+    return {name: with_package(query) for name, query in _merged("QUERIES").items()}
 
 
 def all_sql() -> dict[str, str]:
