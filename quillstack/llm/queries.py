@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillstack.llm.common import hold_out
 from quillstack.session import read_table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -16,6 +17,16 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_bitmask(spark, folder):
+    from quillstack.llm import language
+
+    docs = read_table(spark, folder, "documents")
+    held = hold_out(F.col("doc_id"), 3) == 1
+    filters = language.train(docs.filter(~F.coalesce(held, F.lit(False))))
+    found = language.predict(docs, filters)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def encode_stage(spark, docs, folder):
     """Ids of the whole texts, decoded again, as digests."""
     import public_tokenizers
@@ -39,9 +50,58 @@ def op7_whole_token_counts(spark, folder):
     return token_counts.count_tokens(read_table(spark, folder, "documents"), _tokenizer(WORD_BPE))
 
 
+def op8_host_rules(spark, folder):
+    from quillstack.llm import host_rules
+
+    return host_rules.judge(read_table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
 QUERIES = {
+    "op1_language_bitmask": op1_language_bitmask,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_whole_token_counts": op7_whole_token_counts,
+    "op8_host_rules": op8_host_rules,
 }
 
 SQL: dict[str, str] = {}
+
+SQL["op8_host_rules"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 4], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS s FROM d)),
+twice AS (SELECT doc_id, s FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(s, s + 5)) AS p FROM twice) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM (
+    SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (
+  SELECT doc_id, source, len(w)::BIGINT AS n_words,
+         length(array_to_string(w, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         coalesce(lines.dup, 0)::BIGINT AS n_dup_lines, coalesce(lines.n, 0) AS n_lines,
+         coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+f AS (
+  SELECT *, n_words < 10 AS r1, 100 * n_repeat_words > 20 * n_words AS r2,
+         n_symbols > 0.1::DOUBLE * word_chars AS r3, n_dup_lines > 0.3::DOUBLE * n_lines AS r4 FROM m),
+long AS (
+  SELECT source, unnest([1, 2, 3, 4]) AS r, unnest([r1, r2, r3, r4])::INT AS x FROM f
+  WHERE source IS NOT NULL),
+h AS (SELECT source, r, count(*) AS n, sum(x) AS x, sum(x) / count(*) AS p FROM long GROUP BY ALL),
+pr AS (SELECT r, avg(p) AS m, var_pop(p) - avg(p) * (1 - avg(p)) * avg(1 / n) AS v FROM h GROUP BY r),
+rate AS (
+  SELECT source, max(CASE WHEN v > 0 THEN (x + s * m) / (n + s) ELSE m END) AS worst
+  FROM (SELECT *, greatest(m * (1 - m) / v - 1, 0) AS s FROM h JOIN pr USING (r)) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       r1 OR r2 AS base_failed, NOT (r1 OR r2) AND NOT coalesce(worst > 0.5, false) AS kept
+FROM f LEFT JOIN rate USING (source)
+"""

@@ -1,0 +1,54 @@
+import zlib
+
+import numpy as np
+
+from quillstack.llm import language
+from quillstack.llm.queries import QUERIES
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def test_grams_by_hand():
+    points, owner = language.letter_runs(["Ab--c", None, "é 1"])
+    assert [chr(p) for p in points] == list(" ab c ") + [" "] + list(" é ")
+    assert owner.tolist() == [0] * 6 + [1] + [2] * 3
+    keys, owner = language.grams(["Ab--c", None, "é 1"])
+    assert np.bincount(owner, minlength=3).tolist() == [3 + 4 + 3, 0, 1 + 1]
+
+
+def test_masks_and_false_positives():
+    rng = np.random.default_rng(0)
+    profiles = [rng.integers(0, 2**63, 500).astype(np.uint64) for _ in range(70)]
+    f = language.Filters.build([f"l{k}" for k in range(70)], profiles)
+    for k in (0, 63, 64, 69):
+        assert all((f.masks(profiles[k])[k // 64] >> np.uint64(k % 64)) & np.uint64(1))
+    other = rng.integers(0, 2**63, 200_000).astype(np.uint64)
+    for k in (1, 65):
+        seen = ((f.masks(other)[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()
+        assert abs(seen - f.false_rate[k]) < 0.002
+
+
+def test_held_out_accuracy(spark):
+    found = QUERIES["op1_language_bitmask"](spark, FOLDER)
+    assert found.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    right = total = 0
+    for r in found.collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
+        if r.held_out:
+            total, right = total + 1, right + (r.lang_pred == docs[r.doc_id].lang)
+    assert total > 300 and right / total > 0.95, right / total
+
+
+def test_odd_rows(spark):
+    rows = [(1, "the cat sat on the mat and that was that", "en", 1), (2, "der hund und die katze", "de", 1),
+            (3, None, "en", 1), (4, "", "de", 1), (5, "123 !", None, 1), (6, "the hat", None, 1),
+            (6, "the hat", None, 1), (None, "die katze " * 20_000, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    out = language.predict(docs, language.train(docs)).collect()
+    assert len(out) == len(rows)
+    got = {r.doc_id: r.lang_pred for r in out}
+    assert (got[3], got[4], got[5], got[6], got[None]) == ("und", "und", "und", "en", "de")
+    empty = language.train(docs.limit(0))
+    assert {r.lang_pred for r in language.predict(docs, empty).collect()} == {"und"}
+    assert language.predict(docs.limit(0), empty).count() == 0
