@@ -27,6 +27,28 @@ def op1_language_bitmask(spark, folder):
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def _toxicity_model(spark, folder):
+    """Learned from labelled documents outside the held-out fifth, wherever it is used."""
+    from quillstack.llm import toxicity
+
+    held = hold_out(F.col("doc_id"), 5) == 0
+    labels = read_table(spark, folder, "labels").filter(~held & F.col("toxic").isNotNull())
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.train(docs.join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id"))
+
+
+def toxicity_stage(spark, docs, folder):
+    """The documents that are not predicted to be toxic."""
+    scored = _toxicity_model(spark, folder).score(docs.withColumn("_row", F.struct(*docs.columns)), "_row")
+    return scored.filter("predicted = 0").select("_row.*")
+
+
+def op4_toxicity(spark, folder):
+    docs = read_table(spark, folder, "documents")
+    return _toxicity_model(spark, folder).score(docs).select(
+        "doc_id", (hold_out(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def encode_stage(spark, docs, folder):
     """Ids of the whole texts, decoded again, as digests."""
     import public_tokenizers
@@ -61,6 +83,7 @@ def op8_host_rules(spark, folder):
 
 QUERIES = {
     "op1_language_bitmask": op1_language_bitmask,
+    "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_whole_token_counts": op7_whole_token_counts,
     "op8_host_rules": op8_host_rules,
