@@ -27,6 +27,12 @@ def op1_language_bitmask(spark, folder):
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op3_projected_neighbours(spark, folder):
+    from quillstack.llm import neighbours
+
+    return neighbours.search(read_table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
 def _toxicity_model(spark, folder):
     """Learned from labelled documents outside the held-out fifth, wherever it is used."""
     from quillstack.llm import toxicity
@@ -83,6 +89,7 @@ def op8_host_rules(spark, folder):
 
 QUERIES = {
     "op1_language_bitmask": op1_language_bitmask,
+    "op3_projected_neighbours": op3_projected_neighbours,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_whole_token_counts": op7_whole_token_counts,
