@@ -87,6 +87,23 @@ def op8_host_rules(spark, folder):
     )
 
 
+def _lines(docs):
+    from quillstack.llm import line_dedup
+
+    return line_dedup.dedupe_lines(docs)
+
+
+def line_stage(spark, docs, folder):
+    """Repeated runs of lines deleted; documents of which no word is left go with them."""
+    left = _lines(docs).filter((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(*docs.columns)
+
+
+def op10_line_winnowing(spark, folder):
+    return _lines(read_table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_language_bitmask": op1_language_bitmask,
     "op3_projected_neighbours": op3_projected_neighbours,
@@ -94,6 +111,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op7_whole_token_counts": op7_whole_token_counts,
     "op8_host_rules": op8_host_rules,
+    "op10_line_winnowing": op10_line_winnowing,
 }
 
 SQL: dict[str, str] = {}
@@ -135,3 +153,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        r1 OR r2 AS base_failed, NOT (r1 OR r2) AND NOT coalesce(worst > 0.5, false) AS kept
 FROM f LEFT JOIN rate USING (source)
 """
+
+SQL["op10_line_winnowing"] = """
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+l AS (
+  SELECT doc_id, pos, s, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS p
+  FROM (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM raw)
+  WHERE s <> ''),
+win AS (
+  SELECT doc_id, p, s || chr(10) || lead(s, 1) OVER w || chr(10) || lead(s, 2) OVER w AS k
+  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+later AS (
+  SELECT doc_id, p FROM win WHERE k IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 3)) AS p FROM later),
+cut AS (SELECT doc_id, pos FROM gone JOIN l USING (doc_id, p)),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY raw.pos) AS t FROM raw ANTI JOIN cut USING (doc_id, pos)
+  GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_lines, coalesce(g.n, 0) AS n_deleted,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id) n USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id) g USING (doc_id)
+"""
