@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SLICE_BYTES = 2 << 20
@@ -29,11 +30,6 @@ def rows(batches: Iterable[pa.RecordBatch], text: str = "text",
             start = stop
 
 
-def word_lists(batch: pa.RecordBatch, text: str = "text") -> list[list[str]]:
-    """The words of every text; none for a null."""
-    return [WORD.findall(t) if t else [] for t in batch.column(text).to_pylist()]
-
-
 def shared_bytes(spark: SparkSession, path: str):
     """Broadcast of a vocabulary file (a few MB), so that only the driver opens it."""
     with open(path, "rb") as f:
@@ -59,7 +55,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hash of a word, remembered for up to ``limit`` words."""
+    """64-bit hash of a word (as bytes), remembered for up to ``limit`` words."""
 
     def __init__(self, limit: int = 400_000):
         import xxhash
@@ -67,13 +63,15 @@ class WordHashes(dict):
         super().__init__()
         self._hash, self._limit = xxhash.xxh3_64_intdigest, limit
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self._limit:
-            self.clear()
-        value = self[word] = self._hash(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: bytes) -> int:
+        value = self._hash(word)
+        if len(word) <= 64:
+            if len(self) >= self._limit:
+                self.clear()
+            self[word] = value
         return value
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
@@ -98,11 +96,14 @@ def sequence_hashes(values: np.ndarray, length: int, seed: int = 0) -> np.ndarra
             block = mix(block[:-half] * np.uint64(0xD6E8FEB86659FD93) + block[half:])
 
 
-def digests(values: list[bytes]) -> list[str]:
-    import hashlib
-
-    return [hashlib.sha256(v).hexdigest() for v in values]
+def byte_words(batch: pa.RecordBatch, text: str = "text") -> list[list[bytes]]:
+    """The words of every text as UTF-8; splitting bytes cuts at the same six ASCII
+    characters as WORD."""
+    return [t.split() if t else [] for t in batch.column(text).cast(pa.binary()).to_pylist()]
 
 
-def keep_columns(docs: DataFrame, *names: str) -> DataFrame:
-    return docs.select(*names)
+def release(spark: SparkSession) -> None:
+    """Shuffle files go when the driver collects the frames they belong to; between
+    large stages that is asked for, as a driver with free memory would not do it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -87,6 +87,21 @@ def op8_host_rules(spark, folder):
     )
 
 
+def near_duplicate_stage(spark, docs, folder):
+    """One document of each group of similar texts: the one of smallest id."""
+    from quillstack.llm import jaccard_join
+
+    found = jaccard_join.join(docs).select(F.col("doc_id").alias("id"), "component_id")
+    first = found.filter("id = component_id OR id IS NULL").select("id").distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["id"]), "left_semi")
+
+
+def op9_jaccard_prefixes(spark, folder):
+    from quillstack.llm import jaccard_join
+
+    return jaccard_join.join(read_table(spark, folder, "documents"))
+
+
 def _lines(docs):
     from quillstack.llm import line_dedup
 
@@ -111,6 +126,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op7_whole_token_counts": op7_whole_token_counts,
     "op8_host_rules": op8_host_rules,
+    "op9_jaccard_prefixes": op9_jaccard_prefixes,
     "op10_line_winnowing": op10_line_winnowing,
 }
 
