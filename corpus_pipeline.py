@@ -6,6 +6,10 @@ from quillstack.llm import queries as q
 from quillstack.session import new_path, read_table, ship_package
 
 STAGES = [
+    ("toxicity", q.toxicity_stage),
+    ("line_dedup", q.line_stage),
+    ("jaccard_join", q.near_duplicate_stage),
+    ("mixing", q.mixing_stage),
     ("byte_bpe", q.encode_stage),
 ]
 
@@ -14,7 +18,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Applies the stages to ``documents``, each stored before the next reads it."""
+    """Applies the stages to ``documents``, each stored before the next reads it: toxic
+    documents go, repeated runs of lines are deleted, one document of each group of
+    similar ones stays, the rest is sampled to the target mix and encoded."""
     ship_package(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:

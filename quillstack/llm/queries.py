@@ -27,6 +27,20 @@ def op1_language_bitmask(spark, folder):
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def mixing_stage(spark, docs, folder):
+    """The documents sampled to the target mix."""
+    from quillstack.llm import mixing
+
+    return mixing.mix(docs).filter("kept").select(*docs.columns)
+
+
+def op2_raked_mixture(spark, folder):
+    from quillstack.llm import mixing
+
+    return mixing.mix(read_table(spark, folder, "documents")).select(
+        "doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+
+
 def op3_projected_neighbours(spark, folder):
     from quillstack.llm import neighbours
 
@@ -121,6 +135,7 @@ def op10_line_winnowing(spark, folder):
 
 QUERIES = {
     "op1_language_bitmask": op1_language_bitmask,
+    "op2_raked_mixture": op2_raked_mixture,
     "op3_projected_neighbours": op3_projected_neighbours,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
