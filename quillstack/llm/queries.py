@@ -86,6 +86,13 @@ def op5_byte_bpe(spark, folder):
     return encode_stage(spark, read_table(spark, folder, "documents"), folder)
 
 
+def op6_phrase_automata(spark, folder):
+    from quillstack.llm import phrase_dedup
+
+    return phrase_dedup.remove_repeats(read_table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_whole_token_counts(spark, folder):
     from quillstack.llm import token_counts
 
@@ -139,6 +146,7 @@ QUERIES = {
     "op3_projected_neighbours": op3_projected_neighbours,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_phrase_automata": op6_phrase_automata,
     "op7_whole_token_counts": op7_whole_token_counts,
     "op8_host_rules": op8_host_rules,
     "op9_jaccard_prefixes": op9_jaccard_prefixes,
