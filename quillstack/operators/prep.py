@@ -51,8 +51,14 @@ def result_fields(docs: DataFrame, fields: tuple[str, ...] = RESULT_FIELDS) -> D
     return docs.select(*fields)
 
 
+def zero_padded(number: Column, width: int = 6) -> Column:
+    """The number with leading zeros; a longer one is not cut."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), "0")
+
+
 def dense_numbers(docs: DataFrame, key: str, out: str = "doc_num", ranges: int = 256) -> DataFrame:
-    """Numbers 0, 1, 2, ... in key order, also as a six-digit name.
+    """Numbers 0, 1, 2, ... in key order, also as a name of six digits or more.
 
     The numeric key is cut into ranges of about equal size, rows are ranked
     inside a range only, and the sizes of the earlier ranges are added. Range
@@ -72,7 +78,7 @@ def dense_numbers(docs: DataFrame, key: str, out: str = "doc_num", ranges: int =
     return (
         cut.join(offsets, "range")
         .withColumn(out, number)
-        .withColumn("file_name", F.lpad(F.col(out).cast("string"), 6, "0"))
+        .withColumn("file_name", zero_padded(F.col(out)))
         .drop("range", "before")
     )
 

@@ -183,7 +183,8 @@ SQL = {
   FROM documents LEFT JOIN labels USING (doc_id)""",
     "project_fields": "SELECT doc_id, lang, source, n_chars FROM documents",
     "dense_number": """SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_num,
-  lpad((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR, 6, '0') AS file_name FROM labels""",
+  lpad(n::VARCHAR, greatest(6, length(n::VARCHAR))::INT, '0') AS file_name
+FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM labels)""",
     "join_meta": """SELECT doc_id, source, n_chars, quality::INT AS quality, toxic::INT AS toxic
   FROM documents JOIN labels USING (doc_id)""",
     "label_decode": """SELECT c_custkey, n_name AS nation FROM customer

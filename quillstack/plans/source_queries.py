@@ -18,7 +18,7 @@ def text_files(spark, folder):
     """A1: one file per item, written and read back; writing ends each file with a line break."""
     path = new_path(spark, "texts")
     items = read_table(spark, folder, "benchmark")
-    numbered = items.select(F.col("text"), F.lpad(F.col("item_id").cast("string"), 6, "0").alias("doc"))
+    numbered = items.select(F.col("text"), prep.zero_padded(F.col("item_id")).alias("doc"))
     numbered.write.partitionBy("doc").text(path)
     return corpus.read_text_files(spark, path, r"/doc=([0-9]+)/", recursive=True)
 
@@ -27,7 +27,8 @@ def metadata_csv(spark, folder):
     """A2, A4"""
     path = new_path(spark, "meta")
     docs = read_table(spark, folder, "documents")
-    meta = docs.select("doc_id", "lang", "source", "n_chars", F.substring("text", 1, 40).alias("case_name"))
+    title = F.substring_index("text", "\n", 1).alias("case_name")
+    meta = docs.select("doc_id", "lang", "source", "n_chars", title)
     corpus.write_metadata(meta, path)
     return corpus.read_metadata(spark, path, meta.schema)
 
@@ -71,11 +72,16 @@ def list_files(spark, folder):
 
 
 def list_files_page(spark, folder):
-    """A5: the second page"""
+    """A5: the second page, empty where the first was the last"""
     stored = stored_pages(spark, folder)
-    first = files.list_files(stored, PREFIX, PAGE_SIZE)
-    token = files.next_token(first, PAGE_SIZE)
-    return _listing(files.list_files(stored, PREFIX, PAGE_SIZE, token))
+    _, token = files.list_page(stored, PREFIX, PAGE_SIZE)
+    return _listing(files.list_page(stored, PREFIX, PAGE_SIZE, token)[0])
+
+
+def list_files_token(spark, folder):
+    """A5: the first page with the token for the next"""
+    page, token = files.list_page(stored_pages(spark, folder), PREFIX, PAGE_SIZE)
+    return _listing(page).withColumn("next_token", F.lit(token).cast("string"))
 
 
 def bulk_load(spark, folder):
@@ -98,7 +104,8 @@ def turns(spark, folder):
 
 def _delete_requests(versions):
     """Keys with more than four versions as a whole; elsewhere the newest version."""
-    per_key = versions.groupBy("key").agg(F.count("*").alias("n"), F.max("version_id").alias("last"))
+    per_key = versions.groupBy("key").agg(
+        F.count("*").alias("n"), F.max_by("version_id", "last_modified").alias("last"))
     return per_key.select("key", F.when(F.col("n") <= 4, F.col("last")).alias("version_id"))
 
 
@@ -110,8 +117,24 @@ def _deleted(spark, folder):
 
 def versions_latest(spark, folder):
     """A7"""
-    latest = files.latest_versions(turns(spark, folder))
-    return latest.select("key", "version_id", "size")
+    listed = turns(spark, folder).select("key", "version_id", "last_modified", "size")
+    return files.latest_versions(listed).select("key", "version_id", "size")
+
+
+def versions_upload(spark, folder):
+    """Benchmark items uploaded as new versions of the conversations of that number"""
+    old = turns(spark, folder)
+    items = read_table(spark, folder, "benchmark")
+    new = items.select(
+        F.col("item_id").cast("string").alias("key"),
+        F.lit("upload").alias("version_id"),
+        F.timestamp_seconds(F.lit(9_000_000)).alias("last_modified"),
+        F.octet_length("text").cast("long").alias("size"),
+        F.lit(False).alias("deleted"),
+        F.col("text").cast("binary").alias("content"),
+    )
+    listed = files.list_versions(files.add_versions(old, new))
+    return listed.select("key", "version_id", "is_latest", "size")
 
 
 def versions_list(spark, folder):
@@ -192,22 +215,24 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_files, metadata_csv, code_names, snapshot_roundtrip, list_files, list_files_page,
-        bulk_load, versions_latest, versions_list, version_read, version_delete, corpus_table,
+        list_files_token, bulk_load, versions_latest, versions_list, versions_upload, version_read, version_delete, corpus_table,
         upsert, insert_only, search_history,
     )
 }
 
 # --- the same results in SQL -------------------------------------------------
 
-_TURNS = """t AS (SELECT conv_id::VARCHAR AS key, 'v' || lpad(turn::VARCHAR, 3, '0') AS version_id,
-  strlen(text) AS size, text FROM conversations),
-k AS (SELECT key, count(*) AS n, max(version_id) AS last FROM t GROUP BY 1),
+_TURNS = """t AS (SELECT conv_id::VARCHAR AS key,
+  'v' || lpad(turn::VARCHAR, greatest(3, length(turn::VARCHAR))::INT, '0') AS version_id,
+  turn, strlen(text) AS size, text FROM conversations),
+k AS (SELECT key, count(*) AS n, arg_max(version_id, turn) AS last FROM t GROUP BY 1),
 kept AS (SELECT t.*, n FROM t JOIN k USING (key) WHERE n > 4 OR version_id <> last),
-alive AS (SELECT *, n <= 4 AND version_id = max(version_id) OVER (PARTITION BY key) AS is_latest FROM kept)"""
+alive AS (SELECT *, n <= 4 AND turn = max(turn) OVER (PARTITION BY key) AS is_latest FROM kept)"""
 
 SQL = {
     "text_files": "SELECT item_id AS doc_id, text || chr(10) AS text FROM benchmark",
-    "metadata_csv": """SELECT doc_id, lang, source, n_chars, substring(text, 1, 40) AS case_name FROM documents""",
+    "metadata_csv": """SELECT doc_id, lang, source, n_chars, split_part(text, chr(10), 1) AS case_name
+  FROM documents""",
     "code_names": "SELECT n_nationkey AS code, n_name AS name FROM nation",
     "snapshot_roundtrip": "WITH "
     + split_sql("documents", "lang", "doc_id")
@@ -216,11 +241,19 @@ SQL = {
   FROM pages WHERE starts_with(url, '{PREFIX}')""",
     "list_files_page": f"""SELECT url AS key, page_id * 60 AS last_modified, strlen(html) AS size
   FROM pages WHERE starts_with(url, '{PREFIX}') ORDER BY url LIMIT {PAGE_SIZE} OFFSET {PAGE_SIZE}""",
+    "list_files_token": f"""WITH p AS (SELECT url AS key, page_id * 60 AS last_modified, strlen(html) AS size,
+    row_number() OVER (ORDER BY url) AS n FROM pages WHERE starts_with(url, '{PREFIX}'))
+SELECT key, last_modified, size, CASE WHEN (SELECT count(*) FROM p) > {PAGE_SIZE}
+    THEN (SELECT key FROM p WHERE n = {PAGE_SIZE}) END AS next_token FROM p WHERE n <= {PAGE_SIZE}""",
     "bulk_load": f"SELECT url AS key, html AS text FROM pages WHERE starts_with(url, '{PREFIX}')",
     "versions_latest": f"""WITH {_TURNS} SELECT t.key, version_id, size FROM t JOIN k ON t.key = k.key
   AND version_id = last""",
     "versions_list": f"""WITH {_TURNS} SELECT t.key, version_id, version_id = last AS is_latest, size
   FROM t JOIN k ON t.key = k.key""",
+    "versions_upload": f"""WITH {_TURNS}, b AS (SELECT item_id::VARCHAR AS key, strlen(text) AS size FROM benchmark)
+SELECT t.key, version_id, version_id = last AND b.key IS NULL AS is_latest, t.size
+  FROM t JOIN k ON t.key = k.key LEFT JOIN b ON b.key = t.key
+UNION ALL SELECT key, 'upload', true, size FROM b""",
     "version_read": f"""WITH {_TURNS}
 SELECT k.key, coalesce(version_id, '') AS version_id,
   CASE WHEN version_id IS NULL THEN 'missing' ELSE 'ok' END AS status, coalesce(text, '') AS text

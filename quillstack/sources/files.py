@@ -19,21 +19,30 @@ def owner_prefix(owner: str, prefix: str | None = None) -> str:
     return f"{owner}/{prefix or ''}"
 
 
-def list_files(
-    files: DataFrame, prefix: str, page_size: int | None = None, token: str | None = None
-) -> DataFrame:
-    """A5: files under a prefix in key order; the next token is the last key returned."""
+START = ""
+
+
+def list_files(files: DataFrame, prefix: str) -> DataFrame:
+    """A5: all files under a prefix in key order."""
     listed = files.filter(F.col("key").startswith(prefix))
-    if token:
-        listed = listed.filter(F.col("key") > token)
-    listed = listed.select("key", "last_modified", "size").orderBy("key")
-    return listed if page_size is None else listed.limit(page_size)
+    return listed.select("key", "last_modified", "size").orderBy("key")
 
 
-def next_token(page: DataFrame, page_size: int) -> str | None:
-    """Token for the following page, or None on the last one. ``page`` is one page."""
-    row = page.agg(F.count("*").alias("n"), F.max("key").alias("last")).first()
-    return row["last"] if row["n"] == page_size else None
+def list_page(
+    files: DataFrame, prefix: str, page_size: int, token: str | None = START
+) -> tuple[DataFrame, str | None]:
+    """A5: one page of ``list_files`` and the token of the next page, its last key.
+
+    One row more than the page is read, so a page that is exactly full is known to be
+    the last. The token is None after the last page, and None lists nothing."""
+    spark = files.sparkSession
+    columns = files.select("key", "last_modified", "size")
+    if token is None:
+        return spark.createDataFrame([], columns.schema), None
+    following = columns.filter(F.col("key").startswith(prefix) & (F.col("key") > token))
+    rows = following.orderBy("key").limit(page_size + 1).collect()
+    page = spark.createDataFrame(rows[:page_size], columns.schema)
+    return page, rows[page_size - 1]["key"] if len(rows) > page_size else None
 
 
 def load_files(files: DataFrame, prefix: str) -> DataFrame:
@@ -67,7 +76,9 @@ def list_versions(versions: DataFrame) -> DataFrame:
 
     The join key holds the version, which is unique, so hot keys stay spread.
     """
-    newest = latest_versions(versions).select("key", "version_id", F.lit(True).alias("newest"))
+    newest = latest_versions(versions.select("key", "version_id", "last_modified")).select(
+        "key", "version_id", F.lit(True).alias("newest")
+    )
     flagged = versions.join(newest, ["key", "version_id"], "left")
     return flagged.filter(~F.col("deleted")).select(
         "key",
@@ -86,15 +97,12 @@ def read_files(versions: DataFrame, requests: DataFrame) -> DataFrame:
         .join(live.select("key", "version_id", "content"), ["key", "version_id"], "left")
         .select("key", "version_id", "content")
     )
-    newest = latest_versions(versions).select(
-        "key", F.col("version_id").alias("found"), "deleted", "content"
-    )
+    newest = latest_versions(versions.select("key", "version_id", "last_modified", "deleted"))
+    found = newest.filter(~F.col("deleted")).select("key", "version_id")
     unnamed = (
-        requests.filter(F.col("version_id").isNull()).select("key").join(newest, "key", "left")
-    ).select(
-        "key",
-        F.when(~F.col("deleted"), F.col("found")).alias("version_id"),
-        F.when(~F.col("deleted"), F.col("content")).alias("content"),
+        requests.filter(F.col("version_id").isNull()).select("key").join(found, "key", "left")
+        .join(live.select("key", "version_id", "content"), ["key", "version_id"], "left")
+        .select("key", "version_id", "content")
     )
     status = F.when(F.col("content").isNull(), "missing").otherwise("ok")
     return named.unionByName(unnamed).select(

@@ -42,6 +42,8 @@ def test_dense_numbers(spark):
     rows = prep.dense_numbers(df, "doc_id", ranges=16).collect()
     assert {r["doc_id"]: r["doc_num"] for r in rows} == {v: i for i, v in enumerate(sorted(ids))}
     assert next(r for r in rows if r["doc_num"] == 7)["file_name"] == "000007"
+    long = spark.range(1).select(prep.zero_padded(F.lit(1_234_567)).alias("n")).first()["n"]
+    assert long == "1234567"
 
 
 def test_usable_and_rare(spark):

@@ -44,12 +44,25 @@ def test_metadata_round_trip(spark):
 def test_listing_pages(spark):
     df = versions(spark)
     prefix = files.owner_prefix("bob")
-    first = files.list_files(df.dropDuplicates(["key"]), prefix, 1)
-    token = files.next_token(first, 1)
-    assert token == "bob/a.txt"
-    second = files.list_files(df.dropDuplicates(["key"]), prefix, 5, token)
-    assert [r["key"] for r in second.collect()] == ["bob/b.txt"]
-    assert files.next_token(second, 5) is None
+    df = df.dropDuplicates(["key"])
+    first, token = files.list_page(df, prefix, 1)
+    assert [r["key"] for r in first.collect()] == ["bob/a.txt"] and token == "bob/a.txt"
+    second, token = files.list_page(df, prefix, 5, token)
+    assert [r["key"] for r in second.collect()] == ["bob/b.txt"] and token is None
+    assert files.list_page(df, prefix, 5, token)[0].count() == 0
+
+
+def test_page_exactly_full(spark):
+    df = versions(spark).dropDuplicates(["key"])
+    page, token = files.list_page(df, files.owner_prefix("bob"), 2)
+    assert page.count() == 2 and token is None
+
+
+def test_turn_thousand(spark):
+    rows = [("k", f"v{n:03d}", T0 + dt.timedelta(minutes=n), 1, False, bytearray(b"x")) for n in (998, 999, 1000)]
+    df = spark.createDataFrame(rows, VERSIONS)
+    assert files.latest_versions(df).first()["version_id"] == "v1000"
+    assert [r["version_id"] for r in files.list_versions(df).filter("is_latest").collect()] == ["v1000"]
 
 
 def test_versions(spark):
