@@ -7,19 +7,24 @@ Every matcher returns ``(query_id, doc_id, score)``, one row per match.
   takes the best field, otherwise every listed field must match and scores add.
 * phrase, wildcard: ``any_field`` always looks at every field of the index and
   adds their scores; otherwise every listed field must match.
+
+The words of the queries are stored before they meet the index: Spark then knows their
+size and sends them to the postings, not the postings to them. ``docs`` restricts a
+search to some documents before anything is grouped; scores do not change.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions.distance import allowed_edits, edit_distance, with_deletion_keys
-from quillstack.functions.skew import salted_join
 from quillstack.functions.tokens import search_tokens
-from quillstack.operators.search_index import SearchIndex
+from quillstack.operators.search_index import GRAM, SearchIndex
+from quillstack.session import materialise
 
 K1, B = 1.2, 0.75
 TOP_HITS = 10
@@ -31,6 +36,13 @@ def _for_fields(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
     return rows.withColumn("field", F.explode(F.array(*[F.lit(f) for f in fields])))
 
 
+def _postings(index: SearchIndex, docs: DataFrame | None) -> DataFrame:
+    """The postings, of the allowed documents only."""
+    if docs is None:
+        return index.postings
+    return index.postings.join(docs.select("doc_id"), "doc_id", "left_semi")
+
+
 def query_words(queries: DataFrame) -> DataFrame:
     """(query_id, term, copies, n_terms): distinct words of each query."""
     tokens = queries.select("query_id", search_tokens(F.col("query_text")).alias("words"))
@@ -58,16 +70,16 @@ def _combine(per_field: DataFrame, n_fields: int, any_field: bool, best: bool) -
 
 
 def match_normal(
-    index: SearchIndex, queries: DataFrame, fields: Sequence[str] = ("text",), any_field: bool = True
+    index: SearchIndex, queries: DataFrame, fields: Sequence[str] = ("text",), any_field: bool = True,
+    docs: DataFrame | None = None,
 ) -> DataFrame:
     """G2, G3"""
     words = _for_fields(query_words(queries), fields)
-    needed = words.select("field", "term").distinct()
-    postings = index.postings_of(needed)
-    wanted = words.join(index.word_stats(needed, postings), ["field", "term"])
+    known = index.word_stats(words.select("field", "term").distinct())
+    wanted = materialise(words.join(known, ["field", "term"]), "query-words")
     part = F.col("copies") * bm25(F.col("idf"), F.col("tf"), F.col("len"), F.col("avg_len"))
     per_field = (
-        salted_join(postings, wanted, ["field", "term"], ["doc_id"])
+        _postings(index, docs).drop("positions").join(wanted, ["field", "term"])
         .groupBy("query_id", "doc_id", "field", "n_terms")
         .agg(F.count("*").alias("matched"), F.sum(part).alias("score"))
         .filter(F.col("matched") == F.col("n_terms"))
@@ -76,64 +88,52 @@ def match_normal(
 
 
 def match_phrase(
-    index: SearchIndex, queries: DataFrame, fields: Sequence[str] = ("text",), any_field: bool = True
+    index: SearchIndex, queries: DataFrame, fields: Sequence[str] = ("text",), any_field: bool = True,
+    docs: DataFrame | None = None,
 ) -> DataFrame:
-    """G4, G5. The rarest word of a phrase proposes the places; each place is then
-    compared with the whole phrase, so frequent words produce no rows."""
+    """G4, G5, from positions alone. Only documents that hold the rarest word of a
+    phrase have the positions of its other words spread, so frequent words make few rows."""
     fields = tuple(index.fields if any_field else fields)
     phrases = queries.select("query_id", search_tokens(F.col("query_text")).alias("phrase")).filter(
         F.size("phrase") > 0
     )
     placed = _for_fields(
-        phrases.select("query_id", F.posexplode("phrase").alias("offset", "term")), fields
-    )
-    needed = placed.select("field", "term").distinct()
-    weighed = placed.join(index.word_stats(needed, index.postings_of(needed)), ["field", "term"])
-    lead = (
-        weighed.groupBy("query_id", "field")
-        .agg(
-            F.min_by(F.struct("term", "offset"), F.struct("df", "offset")).alias("lead"),
-            F.sum("idf").alias("idf"),
-            F.first("avg_len").alias("avg_len"),
-            F.count("*").alias("n_known"),
-        )
-        .join(phrases, "query_id")
-        .filter(F.col("n_known") == F.size("phrase"))
-        .select("query_id", "field", "phrase", "idf", "avg_len", "lead.term", "lead.offset")
+        phrases.select("query_id", F.size("phrase").alias("n"), F.posexplode("phrase").alias("offset", "term")), fields
     )
-    leads = lead.select("query_id", "field", "term", "offset")
-    tokens = index.analysed.filter(F.col("field").isin(list(fields))).select(
-        "doc_id", "field", F.posexplode("terms").alias("pos", "term")
+    weighed = placed.join(index.word_stats(placed.select("field", "term").distinct()), ["field", "term"])
+    whole = Window.partitionBy("query_id", "field")
+    rarest = F.row_number().over(whole.orderBy("df", "offset")) == 1
+    weighed = materialise(
+        weighed.withColumn("lead", rarest)
+        .withColumn("n_known", F.count("*").over(whole))
+        .withColumn("idf", F.sum("idf").over(whole))
+        .filter(F.col("n_known") == F.col("n")),
+        "query-phrases",
     )
-    places = (
-        salted_join(tokens, leads, ["field", "term"], ["doc_id"])
-        .filter(F.col("pos") >= F.col("offset"))
-        .groupBy("query_id", "doc_id", "field")
-        .agg(F.collect_list(F.col("pos") - F.col("offset")).alias("starts"))
+    postings = _postings(index, docs)
+    leads = weighed.filter("lead").select("query_id", "field", "term")
+    held = postings.select("field", "term", "doc_id").join(leads, ["field", "term"]).select("query_id", "field", "doc_id")
+    held = materialise(held, "query-leads")
+    begin = F.col("at") - F.col("offset")
+    starts = (
+        postings.drop("tf").join(weighed, ["field", "term"])
+        .join(held, ["query_id", "field", "doc_id"], "left_semi")
+        .select("query_id", "doc_id", "field", "n", "idf", "avg_len", "len", "offset", F.explode("positions").alias("at"))
+        .groupBy("query_id", "doc_id", "field", "n", "idf", "avg_len", "len", begin.alias("begin"))
+        .agg(F.count("*").alias("met"))
+        .filter((F.col("begin") >= 0) & (F.col("met") == F.col("n")))
     )
-
-    def phrase_begins(start: Column) -> Column:
-        offsets = F.sequence(F.lit(0), F.size("phrase") - 1)
-        return F.forall(offsets, lambda i: F.get("terms", start + i) == F.get("phrase", i))
-
     per_field = (
-        index.analysed.join(places, ["doc_id", "field"])
-        .join(lead.drop("term", "offset"), ["query_id", "field"])
-        .withColumn("tf", F.size(F.filter("starts", phrase_begins)))
-        .filter(F.col("tf") > 0)
+        starts.groupBy("query_id", "doc_id", "field", "idf", "avg_len", "len")
+        .agg(F.count("*").alias("tf"))
         .select(
-            "query_id",
-            "doc_id",
-            "field",
-            bm25(F.col("idf"), F.col("tf"), F.size("terms"), F.col("avg_len")).alias("score"),
+            "query_id", "doc_id", "field",
+            bm25(F.col("idf"), F.col("tf"), F.col("len"), F.col("avg_len")).alias("score"),
         )
     )
     return _combine(per_field, len(fields), any_field, best=False)
 
 
-_ANCHOR = 3
-
-
 def _pattern_regex(pattern: Column) -> Column:
     """``*`` and ``?`` to an anchored regular expression, everything else literal."""
     quoted = F.regexp_replace(pattern, r"([\\.\[\]{}()+^$|\-&#~])", r"\\$1")
@@ -153,39 +153,33 @@ def expand_wildcards(index: SearchIndex, patterns: DataFrame, fields: Sequence[s
     longest = F.element_at(F.array_sort(by_size), 1).getField("part")
     anchored = patterns.select(
         "query_id",
-        F.substring(longest, 1, _ANCHOR).alias("anchor"),
+        F.substring(longest, 1, GRAM).alias("anchor"),
         _pattern_regex(F.col("query_text")).alias("regex"),
     )
-    words = index.words.filter(F.col("field").isin(list(fields))).select("field", "term")
-    sizes = F.array(*[F.lit(n) for n in range(1, _ANCHOR + 1)])
-    grams = (
-        words.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("term"))))
-        .withColumn("size", F.explode(sizes))
-        .select("field", "term", F.expr("substring(term, start, size)").alias("anchor"))
-    )
-    keyed = grams.unionByName(words.withColumn("anchor", F.lit("")))
+    anchored = materialise(anchored, "query-patterns")
+    near = index.grams.join(anchored, "anchor")
+    # A pattern without a literal character can match any word.
+    open_ones = anchored.filter(F.col("anchor") == "")
+    every = index.words.select("field", "term", F.lit("").alias("anchor")).join(open_ones, "anchor")
     return (
-        salted_join(keyed, anchored, ["anchor"], ["term"])
-        .filter(F.rlike("term", "regex"))
+        near.select("query_id", "field", "term", "regex").unionByName(every.select("query_id", "field", "term", "regex"))
+        .filter(F.col("field").isin(list(fields)) & F.rlike("term", "regex"))
         .select("query_id", "field", "term")
         .distinct()
     )
 
 
 def match_wildcard(
-    index: SearchIndex, queries: DataFrame, fields: Sequence[str] = ("text",), any_field: bool = True
+    index: SearchIndex, queries: DataFrame, fields: Sequence[str] = ("text",), any_field: bool = True,
+    docs: DataFrame | None = None,
 ) -> DataFrame:
     """G6, G7. The whole query is one pattern over single analysed terms, upper
     case kept as written; every matching field scores one."""
     fields = tuple(index.fields if any_field else fields)
     expanded = expand_wildcards(index, queries.filter(F.col("query_text") != ""), fields)
+    expanded = materialise(expanded, "query-expansions")
     per_field = (
-        salted_join(
-            index.postings_of(expanded.select("field", "term").distinct()),
-            expanded,
-            ["field", "term"],
-            ["doc_id"],
-        )
+        _postings(index, docs).select("field", "term", "doc_id").join(expanded, ["field", "term"])
         .select("query_id", "doc_id", "field")
         .distinct()
         .withColumn("score", F.lit(1.0))
@@ -195,13 +189,9 @@ def match_wildcard(
 
 def near_terms(index: SearchIndex, terms: DataFrame, fields: Sequence[str], max_edits: Column) -> DataFrame:
     """(field, asked, term, df, edits): index terms within ``max_edits`` of the
-    asked terms. Pairs come from shared deletion keys and are then measured."""
+    asked terms. Pairs come from shared deletion keys and are then measured; one swap
+    is at most two plain edits, so the built-in distance sorts out most of them."""
     asked = terms.select(F.col("term").alias("asked")).distinct()
-    size = F.length("asked")
-    lengths = asked.select(F.explode(F.sequence(size - 2, size + 2)).alias("size")).distinct()
-    words = index.words.filter(F.col("field").isin(list(fields)))
-    near_length = words.withColumn("size", F.length("term")).join(lengths, "size", "left_semi")
-    keyed = with_deletion_keys(near_length.select("field", "term", "df"), "term")
     asked_keys = (
         with_deletion_keys(asked.select("asked", max_edits.alias("k")), "asked")
         .filter(F.col("deleted") <= F.col("k"))
@@ -209,17 +199,14 @@ def near_terms(index: SearchIndex, terms: DataFrame, fields: Sequence[str], max_
         .distinct()
     )
     pairs = (
-        salted_join(keyed, asked_keys, ["key"], ["term"])
-        .filter(
-            (F.col("deleted") <= F.col("k"))
-            & (F.abs(F.length("asked") - F.length("term")) <= F.col("k"))
-        )
+        index.deletion_keys.filter(F.col("field").isin(list(fields)))
+        .join(materialise(asked_keys, "query-keys"), "key")
+        .filter((F.col("deleted") <= F.col("k")) & (F.levenshtein("asked", "term") <= 2 * F.col("k")))
         .groupBy("field", "asked", "term")
         .agg(F.first("df").alias("df"), F.first("k").alias("k"))
     )
-    return pairs.withColumn("edits", edit_distance(F.col("asked"), F.col("term"))).filter(
-        F.col("edits") <= F.col("k")
-    )
+    measured = materialise(pairs.withColumn("edits", edit_distance(F.col("asked"), F.col("term"))), "query-near")
+    return measured.filter(F.col("edits") <= F.col("k"))
 
 
 def similarity(edits: Column, left: Column, right: Column) -> Column:
@@ -231,6 +218,7 @@ def match_fuzzy(
     queries: DataFrame,
     fields: Sequence[str] = ("text",),
     any_field: bool = True,
+    docs: DataFrame | None = None,
     max_expansions: int | None = None,
 ) -> DataFrame:
     """G8, G9. Every query word may be replaced by index terms within its allowed
@@ -247,16 +235,15 @@ def match_fuzzy(
         )
     asked = words.select("query_id", "n_terms", "copies", F.col("term").alias("asked"))
     expanded = near.select("field", "asked", "term", "weight").join(asked, "asked")
-    needed = near.select("field", "term").distinct()
-    postings = index.postings_of(needed)
-    wanted = expanded.join(index.word_stats(needed, postings), ["field", "term"])
+    known = index.word_stats(near.select("field", "term").distinct())
+    wanted = materialise(expanded.join(known, ["field", "term"]), "query-words")
     part = (
         F.col("copies")
         * F.col("weight")
         * bm25(F.col("idf"), F.col("tf"), F.col("len"), F.col("avg_len"))
     )
     per_field = (
-        salted_join(postings, wanted, ["field", "term"], ["doc_id"])
+        _postings(index, docs).drop("positions").join(wanted, ["field", "term"])
         .groupBy("query_id", "doc_id", "field", "n_terms", "asked")
         .agg(F.max(part).alias("part"))
         .groupBy("query_id", "doc_id", "field", "n_terms")
@@ -266,9 +253,10 @@ def match_fuzzy(
     return _combine(per_field, len(fields), any_field, best=True)
 
 
-def match_all(index: SearchIndex, query_id: str) -> DataFrame:
+def match_all(index: SearchIndex, query_id: str, docs: DataFrame | None = None) -> DataFrame:
     """An empty query matches every document with the same score."""
-    return index.docs.select(F.lit(query_id).alias("query_id"), "doc_id", F.lit(1.0).alias("score"))
+    found = index.docs if docs is None else docs
+    return found.select(F.lit(query_id).alias("query_id"), "doc_id", F.lit(1.0).alias("score"))
 
 
 def match(
@@ -277,6 +265,7 @@ def match(
     mode: str = "normal",
     fields: Sequence[str] = ("text",),
     any_field: bool = True,
+    docs: DataFrame | None = None,
 ) -> DataFrame:
     matchers = {
         "normal": match_normal, "phrase": match_phrase,
@@ -284,7 +273,7 @@ def match(
     }
     if mode not in matchers:
         raise ValueError(f"unknown search mode: {mode}")
-    return matchers[mode](index, queries, fields, any_field)
+    return matchers[mode](index, queries, fields, any_field, docs)
 
 
 def terms_filter(column: str, values: Sequence) -> Column:
@@ -312,11 +301,17 @@ def range_filter(column: str, **bounds) -> Column:
     return condition
 
 
-def apply_filters(index: SearchIndex, matches: DataFrame, *conditions: Column) -> DataFrame:
-    """Keep matches whose document meets every condition; scores stay as they are."""
+def allowed(index: SearchIndex, *conditions: Column) -> DataFrame:
+    """The documents that meet every condition; give them to a matcher as ``docs``."""
     docs = index.docs
     for condition in conditions:
         docs = docs.filter(condition)
+    return docs
+
+
+def apply_filters(index: SearchIndex, matches: DataFrame, *conditions: Column) -> DataFrame:
+    """Keep matches whose document meets every condition; scores stay as they are."""
+    docs = allowed(index, *conditions)
     return matches.join(docs.select("doc_id"), "doc_id", "left_semi").select(*matches.columns)
 
 
@@ -362,5 +357,63 @@ def total_hits(queries: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def project_hits(index: SearchIndex, hits: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """B4 on an answer: the result fields of each hit."""
-    return hits.join(index.docs.select("doc_id", *columns), "doc_id")
+    """B4 on an answer: the result fields of each hit. The hits are stored first: they
+    are few, and go to the documents."""
+    hits = materialise(hits, "hits")
+    return index.docs.select("doc_id", *columns).join(hits, "doc_id").select(*hits.columns, *columns)
+
+
+@dataclass(frozen=True)
+class SearchRequest:
+    """One search: type, fields, filters (conditions on document columns), order, value
+    counts and highlighting. Without ``sort_by`` the best scores come first."""
+
+    mode: str = "normal"
+    fields: tuple[str, ...] = ("text",)
+    any_field: bool = True
+    filters: tuple[Column, ...] = ()
+    sort_by: tuple[str, ...] = ()
+    count_by: str | None = None
+    columns: tuple[str, ...] = ()
+    highlight: str | None = None
+    size: int = TOP_HITS
+
+
+@dataclass(frozen=True)
+class SearchAnswer:
+    """``hits`` (query_id, doc_id, score, rank and the asked columns), ``total`` per
+    query, and ``counts`` and ``fragments`` where they were asked for."""
+
+    hits: DataFrame
+    total: DataFrame
+    counts: DataFrame | None = None
+    fragments: DataFrame | None = None
+    matches: DataFrame | None = field(default=None, repr=False)
+
+
+def run(index: SearchIndex, queries: DataFrame, request: SearchRequest) -> SearchAnswer:
+    """G2-G19 in one call: filter, match, score, then order, count and highlight.
+
+    Queries without a word match every document that passes the filters."""
+    from quillstack.operators.highlight import highlights
+
+    docs = allowed(index, *request.filters) if request.filters else None
+    wordless = F.size(search_tokens(F.col("query_text"))) == 0
+    empty = materialise(queries.filter(wordless | F.col("query_text").isNull()).select("query_id"), "empty-queries")
+    matches = match(index, queries, request.mode, request.fields, request.any_field, docs)
+    everything = index.docs if docs is None else docs
+    at_all = everything.select("doc_id", F.lit(1.0).alias("score"), F.lit(1).alias("one")).join(
+        empty.withColumn("one", F.lit(1)), "one").select("query_id", "doc_id", "score")
+    matches = materialise(matches.unionByName(at_all), "matches")
+    if request.sort_by:
+        names = [s.lstrip("-") for s in request.sort_by]
+        hits = sorted_hits(index, matches, request.sort_by, request.size).drop(*names)
+    else:
+        hits = top_hits(matches, request.size)
+    hits = materialise(hits, "hits")
+    fragments = None
+    if request.highlight:
+        fragments = highlights(index, hits, query_words(queries), request.highlight)
+    counts = value_counts(index, matches, request.count_by) if request.count_by else None
+    shown = project_hits(index, hits, request.columns) if request.columns else hits
+    return SearchAnswer(shown, total_hits(queries, matches), counts, fragments, matches)

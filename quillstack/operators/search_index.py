@@ -1,124 +1,130 @@
-"""G1: analysed text, postings and statistics for search."""
+"""G1: the stored index for search: postings with positions, words and statistics."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.functions.skew import salted_join
+from quillstack.functions.distance import with_deletion_keys
 from quillstack.functions.tokens import search_tokens
+from quillstack.session import new_path, path_exists
+
+GRAM = 3
+#: Rows of postings in one file, about.
+FILE_ROWS = 2_000_000
+ROWS_AT_ONCE = 256
+
+
+def _positions(batches):
+    """Postings of each field of a document. The positions of a word are gathered
+    inside the row, so no token is shuffled before it is a posting."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(start, ROWS_AT_ONCE)
+            owner, terms, lengths, places = [], [], [], []
+            for row, words in enumerate(part.column("terms").to_pylist()):
+                found: dict[str, list[int]] = {}
+                for at, word in enumerate(words):
+                    found.setdefault(word, []).append(at)
+                owner += [row] * len(found)
+                lengths += [len(words)] * len(found)
+                terms += found
+                places += found.values()
+            owner = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("field").take(owner), pa.array(terms, pa.string()), part.column("doc_id").take(owner),
+                 pa.array([len(p) for p in places], pa.int64()), pa.array(lengths, pa.int32()),
+                 pa.array(places, pa.list_(pa.int32()))],
+                ["field", "term", "doc_id", "tf", "len", "positions"],
+            )
 
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """Documents and their analysed fields.
+    """Tables below one folder, written once and read by every query.
 
-    ``docs``     the documents, with ``key`` and the text and metadata columns
-    ``analysed`` (doc_id, field, terms), one row per document and non-empty field
-    ``postings`` (field, term, doc_id, tf, len)
+    ``docs``     the documents, with ``doc_id`` and the text and metadata columns
+    ``postings`` (field, term, doc_id, tf, len, positions), in ranges of field and term
     ``words``    (field, term, df)
     ``stats``    (field, n_docs, avg_len)
 
-    Built lazily, each table is recomputed from ``docs`` with only the terms a
-    query needs; after ``save`` they are stored tables.
+    The keys for misspelt words and for wildcards are derived from ``words`` and stored
+    when they are first asked for.
     """
 
     docs: DataFrame
     fields: tuple[str, ...]
-    analysed: DataFrame
-    postings: DataFrame
-    words: DataFrame
-    stats: DataFrame
-    stored: bool = False
+    path: str
 
     @staticmethod
-    def build(docs: DataFrame, key: str, fields: tuple[str, ...]) -> SearchIndex:
+    def build(docs: DataFrame, key: str, fields: tuple[str, ...], path: str | None = None) -> SearchIndex:
+        """Index the fields of ``docs``, whose key becomes ``doc_id``."""
         docs = docs.withColumnRenamed(key, "doc_id") if key != "doc_id" else docs
+        path = path or new_path(docs.sparkSession, "search-index")
+        index = SearchIndex(docs, tuple(fields), path)
         entries = F.array(
             *[F.struct(F.lit(f).alias("field"), search_tokens(F.col(f)).alias("terms")) for f in fields]
         )
-        analysed = (
-            docs.select("doc_id", F.inline(entries)).filter(F.size("terms") > 0)
+        analysed = docs.select("doc_id", F.inline(entries)).filter(F.size("terms") > 0)
+        kind = dict(analysed.dtypes)["doc_id"]
+        postings = analysed.mapInArrow(
+            _positions, f"field string, term string, doc_id {kind}, tf long, len int, positions array<int>"
         )
-        postings = (
-            analysed.select("doc_id", "field", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-            .groupBy("field", "term", "doc_id")
-            .agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-        )
-        words = (
-            analysed.select("field", F.explode(F.array_distinct("terms")).alias("term"))
-            .groupBy("field", "term")
-            .agg(F.count("*").alias("df"))
-        )
-        stats = analysed.groupBy("field").agg(
-            F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len")
-        )
-        return SearchIndex(docs, fields, analysed, postings, words, stats)
-
-    def save(self, path: str) -> SearchIndex:
-        """Write the derived tables and return an index that reads them.
-
-        Postings are range-partitioned by field, term and document: files hold
-        narrow term ranges, so scans skip by statistics, and a very frequent
-        term is cut over as many files as it needs.
-        """
-        spark = self.docs.sparkSession
-        self.analysed.write.mode("overwrite").parquet(f"{path}/analysed")
+        rows = analysed.agg(F.sum(F.size(F.array_distinct("terms")))).first()[0] or 0
         (
-            self.postings.repartitionByRange("field", "term", "doc_id")
+            postings.repartitionByRange(-(-rows // FILE_ROWS) or 1, "field", "term", "doc_id")
             .sortWithinPartitions("field", "term", "doc_id")
-            .write.mode("overwrite")
-            .parquet(f"{path}/postings")
-        )
-        postings = spark.read.parquet(f"{path}/postings")
-        postings.groupBy("field", "term").agg(F.count("*").alias("df")).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/words")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        return SearchIndex.load(self.docs, self.fields, path)
-
-    @staticmethod
-    def load(docs: DataFrame, fields: tuple[str, ...], path: str) -> SearchIndex:
-        read = docs.sparkSession.read.parquet
-        return SearchIndex(
-            docs,
-            fields,
-            read(f"{path}/analysed"),
-            read(f"{path}/postings"),
-            read(f"{path}/words"),
-            read(f"{path}/stats"),
-            stored=True,
-        )
-
-    def postings_of(self, needed: DataFrame) -> DataFrame:
-        """Postings of the needed (field, term) rows.
-
-        On a lazily built index only these terms are aggregated: the semi-join
-        runs on the exploded words, before the shuffle.
-        """
-        if self.stored:
-            return salted_join(self.postings, needed, ["field", "term"], ["doc_id"], "left_semi")
-        tokens = self.analysed.select(
-            "doc_id", "field", F.size("terms").alias("len"), F.explode("terms").alias("term")
+            .write.parquet(f"{path}/postings")
         )
-        return (
-            salted_join(tokens, needed, ["field", "term"], ["doc_id"], "left_semi")
-            .groupBy("field", "term", "doc_id")
-            .agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-        )
-
-    def word_stats(self, needed: DataFrame, postings: DataFrame) -> DataFrame:
-        """(field, term, df, idf, avg_len) of the needed terms. ``postings`` are
-        theirs; on a lazily built index they are counted, and Spark reuses the
-        shuffle that the matching step reads as well."""
-        if self.stored:
-            found = self.words.join(needed, ["field", "term"], "left_semi")
-        else:
-            found = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+        index.postings.groupBy("field", "term").agg(F.count("*").alias("df")).write.parquet(f"{path}/words")
+        analysed.groupBy("field").agg(
+            F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len")
+        ).write.parquet(f"{path}/stats")
+        return index
+
+    def _read(self, name: str) -> DataFrame:
+        return self.docs.sparkSession.read.parquet(f"{self.path}/{name}")
+
+    def _stored(self, name: str, table) -> DataFrame:
+        path = f"{self.path}/{name}"
+        if not path_exists(self.docs.sparkSession, f"{path}/_SUCCESS"):
+            table().write.mode("overwrite").parquet(path)
+        return self._read(name)
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._read("postings")
+
+    @property
+    def words(self) -> DataFrame:
+        return self._read("words")
+
+    @property
+    def stats(self) -> DataFrame:
+        return self._read("stats")
+
+    @property
+    def deletion_keys(self) -> DataFrame:
+        """(field, term, df, key, deleted): strings reached by deleting up to two characters."""
+        return self._stored("deletion_keys", lambda: with_deletion_keys(self.words, "term"))
+
+    @property
+    def grams(self) -> DataFrame:
+        """(field, term, anchor): the stretches of up to GRAM characters of each word."""
+        sizes = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
+        return self._stored("grams", lambda: (
+            self.words.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("term"))))
+            .withColumn("size", F.explode(sizes))
+            .select("field", "term", F.expr("substring(term, start, size)").alias("anchor"))
+            .distinct()
+        ))
+
+    def word_stats(self, needed: DataFrame) -> DataFrame:
+        """(field, term, df, idf, avg_len) of the needed (field, term)."""
         n, df = F.col("n_docs"), F.col("df")
         idf = F.ln(1 + (n - df + 0.5) / (df + 0.5))
-        return found.join(self.stats, "field").select(
-            "field", "term", "df", idf.alias("idf"), "avg_len"
-        )
+        found = self.words.join(needed, ["field", "term"], "left_semi")
+        return found.join(self.stats, "field").select("field", "term", "df", idf.alias("idf"), "avg_len")

@@ -9,7 +9,7 @@ from quillstack.operators import search
 from quillstack.operators.highlight import answer_fragments, highlights
 from quillstack.operators.search_index import SearchIndex
 from quillstack.operators.suggest import suggestions
-from quillstack.session import read_documents, read_table
+from quillstack.session import read_documents, read_table, stored_once
 
 FIELDS = ("text", "title")
 
@@ -26,7 +26,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def index(spark: SparkSession, folder: str) -> SearchIndex:
-    return SearchIndex.build(documents(spark, folder), "doc_id", FIELDS)
+    """The index of a folder, built and stored at first use in this application."""
+    docs = documents(spark, folder)
+    path = stored_once(spark, folder, "search-index", lambda p: SearchIndex.build(docs, "doc_id", FIELDS, p))
+    return SearchIndex(docs, FIELDS, path)
 
 
 def literal_queries(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
@@ -66,7 +69,8 @@ def _phrases(any_field: bool):
 def postings(spark, folder):
     """G1"""
     return index(spark, folder).postings.select(
-        "field", "term", "doc_id", "tf", F.col("len").cast("long").alias("len")
+        "field", "term", "doc_id", "tf", F.col("len").cast("long").alias("len"),
+        F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"),
     )
 
 
@@ -77,24 +81,23 @@ SIZES = {"gte": 300, "lt": 6000}
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Normal search with a filter, ten best per query."""
     idx = index(spark, folder)
-    matches = search.match_normal(idx, literal_queries(spark, WORDS))
-    kept = search.apply_filters(idx, matches, search.terms_filter("source", SOURCES))
-    return _hits(search.top_hits(kept))
+    few = search.allowed(idx, search.terms_filter("source", SOURCES))
+    matches = search.match_normal(idx, literal_queries(spark, WORDS), docs=few)
+    return _hits(search.top_hits(matches))
 
 
 def filters(spark, folder):
     """G10, G11, B4"""
     idx = index(spark, folder)
-    matches = search.match_normal(idx, literal_queries(spark, WORDS))
-    kept = search.apply_filters(
-        idx,
-        matches,
-        search.terms_filter("source", SOURCES),
-        search.terms_filter("lang", ["en", "fr"]),
-        search.range_filter("n_chars", **SIZES),
+    request = search.SearchRequest(
+        filters=(
+            search.terms_filter("source", SOURCES),
+            search.terms_filter("lang", ["en", "fr"]),
+            search.range_filter("n_chars", **SIZES),
+        ),
+        columns=("lang", "source", "n_chars"),
     )
-    hits = search.project_hits(idx, search.top_hits(kept), ("lang", "source", "n_chars"))
-    return hits.select("query_id", "doc_id", "score", "rank", "lang", "source", "n_chars")
+    return search.run(idx, literal_queries(spark, WORDS), request).hits
 
 
 def date_range(spark, folder):
@@ -109,32 +112,30 @@ def date_range(spark, folder):
 def sort(spark, folder):
     """G12"""
     idx = index(spark, folder)
-    matches = search.match_normal(idx, literal_queries(spark, WORDS))
-    hits = search.sorted_hits(idx, matches, ["-n_chars", "source"])
-    return hits.select("query_id", "doc_id", "n_chars", "source", "rank")
+    request = search.SearchRequest(sort_by=("-n_chars", "source"), columns=("n_chars", "source"))
+    return search.run(idx, literal_queries(spark, WORDS), request).hits.drop("score")
 
 
 def terms_aggregation(spark, folder):
     """G13"""
     idx = index(spark, folder)
-    matches = search.match_normal(idx, literal_queries(spark, WORDS))
-    return search.value_counts(idx, matches, "source").select("query_id", "value", "n", "rank")
+    request = search.SearchRequest(count_by="source")
+    return search.run(idx, literal_queries(spark, WORDS), request).counts
 
 
 def total(spark, folder):
     """G17"""
     queries = literal_queries(spark, WORDS | {"w5": "absentword the"})
-    return search.total_hits(queries, search.match_normal(index(spark, folder), queries))
+    return search.run(index(spark, folder), queries, search.SearchRequest()).total
 
 
 def empty_query(spark, folder):
     """Only filter, sort and value counts apply."""
     idx = index(spark, folder)
-    matches = search.apply_filters(
-        idx, search.match_all(idx, "all"), search.terms_filter("lang", ["fr", "de"])
+    request = search.SearchRequest(
+        filters=(search.terms_filter("lang", ["fr", "de"]),), sort_by=("lang", "-n_chars"), columns=("lang", "n_chars")
     )
-    hits = search.sorted_hits(idx, matches, ["lang", "-n_chars"])
-    return hits.select("query_id", "doc_id", "score", "lang", "n_chars", "rank")
+    return search.run(idx, literal_queries(spark, {"all": ""}), request).hits
 
 
 def empty_query_counts(spark, folder):
@@ -209,8 +210,9 @@ analysed AS (
   SELECT doc_id, 'text' AS field, regexp_extract_all(lower(text), '{WORD}') AS terms FROM docs
   UNION ALL
   SELECT doc_id, 'title', regexp_extract_all(lower(title), '{WORD}') FROM docs),
-tok AS (SELECT doc_id, field, len(terms) AS len, unnest(terms) AS term FROM analysed),
-post AS (SELECT field, term, doc_id, count(*) AS tf, any_value(len) AS len FROM tok GROUP BY ALL),
+tok AS (SELECT doc_id, field, len(terms) AS len, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS at_ FROM analysed),
+post AS (SELECT field, term, doc_id, count(*) AS tf, any_value(len) AS len,
+  string_agg(at_::VARCHAR, ' ' ORDER BY at_) AS positions FROM tok GROUP BY field, term, doc_id),
 words AS (SELECT field, term, count(*) AS df FROM post GROUP BY ALL),
 stats AS (SELECT field, count(*) AS n, avg(len(terms)) AS al FROM analysed WHERE len(terms) > 0 GROUP BY 1),
 known AS (SELECT field, term, df, al, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf
@@ -327,7 +329,7 @@ SQL = {
     "search_filtered_bm25": _NORMAL
     + f""", kept AS (SELECT matches.* FROM matches JOIN docs USING (doc_id) WHERE source IN {_SOURCES})"""
     + _top("kept"),
-    "search_postings": f"WITH {_INDEX} SELECT field, term, doc_id, tf, len FROM post",
+    "search_postings": f"WITH {_INDEX} SELECT field, term, doc_id, tf, len, positions FROM post",
     "search_normal_any": _normal(_values(WORDS), FIELD_LIST, True) + _top(),
     "search_normal_all": _normal(_values(TITLE_WORDS), FIELD_LIST, False) + _top(),
     "search_phrase_any": _phrase(FIELD_LIST, True),

@@ -7,7 +7,6 @@ from quillstack.operators import search
 from quillstack.operators.highlight import highlights
 from quillstack.operators.search_index import SearchIndex
 from quillstack.operators.suggest import suggestions
-from quillstack.session import new_path
 
 DOCS = [
     (1, "red fox", "the quick red fox jumps over the lazy dog", "a", 10),
@@ -116,14 +115,41 @@ def test_equal_scores_rank_by_document(spark, index):
     assert [r["doc_id"] for r in hits] == [1, 6]
 
 
-def test_stored_index_gives_the_same(spark, index):
-    stored = index.save(new_path(spark, "index"))
+def test_index_reopens(spark, index):
+    again = SearchIndex(index.docs, index.fields, index.path)
     q = queries(spark, "red fox", "the", "qucik")
     for mode in search.MODES:
         a = {tuple(r) for r in search.match(index, q, mode).collect()}
-        b = {tuple(r) for r in search.match(stored, q, mode).collect()}
-        assert {x[:2] for x in a} == {x[:2] for x in b}
-        assert sorted(x[2] for x in a) == pytest.approx(sorted(x[2] for x in b))
+        assert a == {tuple(r) for r in search.match(again, q, mode).collect()}
+    places = index.postings.filter("doc_id = 3 AND field = 'text' AND term = 'red'").first()
+    assert list(places["positions"]) == [0, 1, 2] and places["tf"] == 3
+
+
+def test_filter_before_matching(spark, index):
+    q = queries(spark, "fox", "quick red")
+    few = search.allowed(index, search.terms_filter("source", ["a"]))
+    for mode in search.MODES:
+        late = search.match(index, q, mode).join(few.select("doc_id"), "doc_id", "left_semi")
+        early = search.match(index, q, mode, docs=few)
+        key = ["query_id", "doc_id", "score"]
+        assert {tuple(r) for r in late.select(key).collect()} == {tuple(r) for r in early.select(key).collect()}
+
+
+def test_one_call(spark, index):
+    request = search.SearchRequest(filters=(search.range_filter("size", gte=5),), count_by="source", columns=("size",),
+                                   highlight="text")
+    answer = search.run(index, queries(spark, "fox", ""), request)
+    assert answer.hits.columns == ["query_id", "doc_id", "score", "rank", "size"]
+    assert {r["query_id"]: r["total"] for r in answer.total.collect()} == {"0": 3, "1": 5}
+    assert answer.counts.filter("query_id = '0'").count() == 2
+    assert answer.fragments.filter("query_id = '0'").count() == 3
+
+
+def test_no_tokens_are_shuffled(spark, index):
+    """Postings meet the query words without an exchange of their own."""
+    plan = search.match_normal(index, queries(spark, "red fox"))._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("postings"):] if "postings" in plan else plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and scan
 
 
 def test_highlight_and_suggest(spark, index):
