@@ -149,7 +149,7 @@ def similar_docs_blocks(spark, folder):
     """F6 with both sides in blocks"""
     corpus = _vectors(spark, folder).select("doc_id", "vec")
     queries = corpus.withColumnRenamed("doc_id", "query_id")
-    return similar.similar_documents(queries, corpus, 10, broadcast_limit=100)
+    return similar.similar_documents(queries, similar.SimilarIndex.build(corpus), 10)
 
 
 def similar_response(spark, folder):
@@ -181,8 +181,9 @@ def similar_response(spark, folder):
 
 def half_coherence(spark, folder):
     """F7 on given vectors, cut in the middle"""
+    half = F.expr("size(vec) div 2").cast("int")
     pairs = _vectors(spark, folder).select(
-        F.slice("vec", 1, 32).alias("first"), F.slice("vec", 33, 32).alias("second")
+        F.slice("vec", F.lit(1), half).alias("first"), F.slice("vec", half + 1, half).alias("second")
     )
     means = topics.half_coherence(pairs, "first", "second")
     return means.select(F.round("intra", 6).alias("intra"), F.round("inter", 6).alias("inter"))
@@ -266,7 +267,8 @@ SELECT query_id, rank, d.doc_id AS doc_num, substring(text, 1, 1000) AS text, la
   n_name AS label_str, doc_topics, score
 FROM hits JOIN documents d USING (doc_id) JOIN v ON v.vec_id = d.doc_id
 LEFT JOIN nation ON n_nationkey = label JOIN listed ON listed.vec_id = d.doc_id WHERE rank <= 5""",
-    "half_coherence": """WITH h AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS b FROM embeddings)
+    "half_coherence": """WITH h AS (SELECT vec_id, embedding[1:len(embedding) // 2]::DOUBLE[] AS a,
+  embedding[len(embedding) // 2 + 1:2 * (len(embedding) // 2)]::DOUBLE[] AS b FROM embeddings)
 SELECT round((SELECT avg(list_cosine_similarity(a, b)) FROM h), 6) AS intra,
   round((SELECT avg(list_cosine_similarity(x.a, y.b)) FROM h x CROSS JOIN h y), 6) AS inter""",
     "matrix_update": """SELECT vec_id AS doc_id, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings

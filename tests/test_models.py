@@ -75,7 +75,7 @@ def test_similar_both_ways(spark):
     corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "doc_id long, vec array<double>")
     queries = corpus.withColumnRenamed("doc_id", "query_id")
     near = similar.similar_documents(queries, corpus, 5)
-    blocks = similar.similar_documents(queries, corpus, 5, broadcast_limit=10)
+    blocks = similar.similar_documents(queries, similar.SimilarIndex.build(corpus), 5)
     assert sorted(map(tuple, near.collect())) == sorted(map(tuple, blocks.collect()))
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
