@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.text import first_half, second_half
 from quillstack.operators import classify, prep, similar, topics
-from quillstack.session import read_documents, read_table, spread, stored_once
+from quillstack.plans.prep_queries import split_sql
+from quillstack.session import new_path, read_documents, read_table, spread, stored_once
 
 
 def _clean_documents(spark, folder):
@@ -75,9 +76,10 @@ def classify_report(spark, folder):
 
 def topic_model(kind):
     def run(spark, folder):
-        docs = _clean_documents(spark, folder)
+        docs, _ = labelled(spark, folder)
+        train = docs.filter(F.col("split") == "train")
         path = stored_once(
-            spark, folder, kind, lambda p: topics.train_topics(docs, kind).save(spark, p)
+            spark, folder, kind, lambda p: topics.train_topics(train, kind).save(spark, p)
         )
         return docs, topics.TopicModel.load(spark, path)
 
@@ -106,11 +108,46 @@ def _model_words(kind):
 def _coherence(kind):
     def run(spark, folder):
         docs, model = topic_model(kind)(spark, folder)
-        return topics.model_coherence(model, docs)
+        return topics.model_coherence(model, docs.filter(F.col("split") == "test"))
 
     return run
 
 
+def _mix_check(kind):
+    """No negative weight, LDA mixes add up to one (or are zero, without a known
+    word), three topics for each document"""
+    def run(spark, folder):
+        docs, model = topic_model(kind)(spark, folder)
+        mixed = model.mix(docs).select("topics", topics.top_topics(F.col("topics")).alias("best"))
+        total = F.aggregate("topics", F.lit(0.0), lambda a, x: a + x)
+        off = (total != 0) & (F.abs(total - 1) > 1e-6) if kind == "lda" else total < 0
+        return mixed.agg(
+            F.count("*").alias("n"),
+            F.count_if(F.exists("topics", lambda x: x < 0)).alias("n_negative"),
+            F.count_if(off).alias("n_off"),
+            F.count_if(F.size("best") == 3).alias("n_three"),
+        )
+
+    return run
+
+
+def classify_check(spark, folder):
+    """Nine of ten test documents right, and the same from a model saved and loaded again"""
+    docs, _ = labelled(spark, folder)
+    test = docs.filter(F.col("split") == "test")
+    model = classifier(spark, folder, docs)
+    path = new_path(spark, "classifier-copy")
+    model.save(spark, path)
+    again = classify.TextClassifier.load(spark, path).predict(test)
+    first = model.predict(test).select("doc_id", "label", F.col("pred_label_num").alias("first"))
+    both = first.join(again.select("doc_id", F.col("pred_label_num").alias("second")), "doc_id")
+    return both.agg(
+        F.count("*").alias("n"),
+        (F.avg((F.col("label") == F.col("first")).cast("double")) >= 0.9).alias("good"),
+        F.count_if(~F.col("first").eqNullSafe(F.col("second"))).alias("n_different"),
+    )
+
+
 def topic_words(spark, folder):
     """F4 on given weights: word counts per language"""
     docs = read_documents(spark, folder)
@@ -216,6 +253,9 @@ QUERIES = {
     "similar_docs": similar_docs,
     "similar_docs_blocks": similar_docs_blocks,
     "similar_response": similar_response,
+    "lda_check": _mix_check("lda"),
+    "nmf_check": _mix_check("nmf"),
+    "classify_check": classify_check,
     "half_coherence": half_coherence,
     "matrix_update": matrix_update,
 }
@@ -267,6 +307,10 @@ SELECT query_id, rank, d.doc_id AS doc_num, substring(text, 1, 1000) AS text, la
   n_name AS label_str, doc_topics, score
 FROM hits JOIN documents d USING (doc_id) JOIN v ON v.vec_id = d.doc_id
 LEFT JOIN nation ON n_nationkey = label JOIN listed ON listed.vec_id = d.doc_id WHERE rank <= 5""",
+    "lda_check": "SELECT count(*) AS n, 0::BIGINT AS n_negative, 0::BIGINT AS n_off, count(*) AS n_three FROM documents",
+    "nmf_check": "SELECT count(*) AS n, 0::BIGINT AS n_negative, 0::BIGINT AS n_off, count(*) AS n_three FROM documents",
+    "classify_check": "WITH " + split_sql("documents", "lang", "doc_id")
+    + " SELECT count(*) AS n, true AS good, 0::BIGINT AS n_different FROM split WHERE split = 'test'",
     "half_coherence": """WITH h AS (SELECT vec_id, embedding[1:len(embedding) // 2]::DOUBLE[] AS a,
   embedding[len(embedding) // 2 + 1:2 * (len(embedding) // 2)]::DOUBLE[] AS b FROM embeddings)
 SELECT round((SELECT avg(list_cosine_similarity(a, b)) FROM h), 6) AS intra,

@@ -14,14 +14,15 @@ def test_batch_and_incremental_agree(spark):
     coded = cleaned.join(names.select(F.col("code").alias("label"), F.col("name").alias("lang")), "lang")
     model = topics.train_topics(cleaned, "nmf", components=4, rounds=3)
     models = Models(
-        classify.train(coded, "label"), names, {"nmf": model}, {"nmf": corpus_matrix(cleaned, model)}
+        classify.train(coded, "label"), names, {"nmf": model}, {"nmf": corpus_matrix(cleaned, model)},
+        coded.select("doc_id", "text", "label"),
     )
     options = Options(kp_algos=("textrank", "yake"), show_topics=True, sim_count=2)
     source = docs.select("doc_id", "text")
     batch = enrich(source, models, options)
     assert batch.columns == [
         "doc_id", "summary", "keyphrases_textrank", "entities", "pred_label_num", "pred_label_str",
-        "keyphrases_yake", "sim_nmf", "topics_nmf",
+        "keyphrases_yake", "doc_topics_nmf", "sim_nmf", "topics_nmf",
     ]
     arrivals, target, progress = (new_path(spark, n) for n in ("arrivals", "enriched", "progress"))
     source.repartition(3).write.parquet(arrivals)
@@ -29,6 +30,8 @@ def test_batch_and_incremental_agree(spark):
         enrich_arrivals(
             spark, arrivals, source.schema, lambda b: enrich(b, models, options), target, progress, 2
         ).awaitTermination()
+    hit = batch.filter("size(sim_nmf) = 2").first()["sim_nmf"][0]
+    assert hit["doc"]["text"] and hit["doc"]["actual_label_str"] and len(hit["doc"]["doc_topics"]) == 3
     latest = latest_enriched(spark, target)
     assert sorted(map(str, latest.select(batch.columns).collect())) == sorted(map(str, batch.collect()))
     off = enrich(source, Models(), Options(classify=False, entities=False, summary=False, kp_algos=()))
