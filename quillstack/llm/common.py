@@ -57,7 +57,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word (as bytes), remembered for up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         import xxhash
 
         super().__init__()
@@ -96,10 +96,13 @@ def sequence_hashes(values: np.ndarray, length: int, seed: int = 0) -> np.ndarra
             block = mix(block[:-half] * np.uint64(0xD6E8FEB86659FD93) + block[half:])
 
 
-def byte_words(batch: pa.RecordBatch, text: str = "text") -> list[list[bytes]]:
+def byte_words(batch: pa.RecordBatch, text: str = "text", lower: bool = False) -> list[list[bytes]]:
     """The words of every text as UTF-8; splitting bytes cuts at the same six ASCII
-    characters as WORD."""
-    return [t.split() if t else [] for t in batch.column(text).cast(pa.binary()).to_pylist()]
+    characters as WORD. ``lower`` changes A-Z only."""
+    texts = batch.column(text).cast(pa.binary()).to_pylist()
+    if lower:
+        return [t.lower().split() if t else [] for t in texts]
+    return [t.split() if t else [] for t in texts]
 
 
 def release(spark: SparkSession) -> None:

@@ -25,7 +25,8 @@ from quillstack.session import materialise
 
 WIDTH = 4
 CHOICES = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32])
-#: What verifying one shingle of a candidate costs, in index entries.
+#: What verifying one shingle of a candidate costs, in index entries; meeting a
+#: document once costs as much as one entry.
 VERIFY_COST = 0.02
 
 
@@ -53,6 +54,15 @@ def ordered(tokens: np.ndarray, hot: np.ndarray, levels: np.ndarray) -> tuple[np
     return tokens[order], level[order]
 
 
+def head(tokens: np.ndarray, length: int, hot: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``length`` of the tokens in the common order. Tokens come by hash, so
+    where enough of the first ones are not frequent the rest need not be looked up."""
+    token, level = ordered(tokens[: 2 * length], hot, levels)
+    if 2 * length < len(tokens) and level[length - 1]:
+        token, level = ordered(tokens, hot, levels)
+    return token[:length], level[:length]
+
+
 def choose(level: np.ndarray, n: int, percent: int, background: float) -> int:
     """The number of prefix tokens to share that makes index entries plus expected
     verifications cheapest. The documents met through the first p tokens are at most
@@ -61,38 +71,40 @@ def choose(level: np.ndarray, n: int, percent: int, background: float) -> int:
     k = CHOICES[CHOICES <= need]
     length = n - need + k
     met = np.cumsum((1 << level.astype(np.int64)) - 1 + background)
-    cost = length + VERIFY_COST * n * met[length - 1] / k
+    cost = length + met[length - 1] + VERIFY_COST * n * met[length - 1] / k
     return int(k[np.argmin(cost)])
 
 
-def sets(docs: DataFrame, width: int) -> DataFrame:
-    """``(id, n, digest)``: size and digest of each document's set."""
+def sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(id, n, digest, low)``: size and digest of each document's set, and the low
+    halves of its prefix by hash order."""
     def run(batches):
         hashes = WordHashes()
         for part in rows(batches):
-            found = [shingles([w.lower() for w in words], hashes, width) for words in byte_words(part)]
+            found = [shingles(words, hashes, width) for words in byte_words(part, lower=True)]
+            low = [s[: len(s) - int(needed(len(s), percent)) + 1].astype(np.uint32).tobytes() if len(s) else None
+                   for s in found]
             yield pa.RecordBatch.from_arrays([
                 part.column("id"), pa.array([len(s) for s in found], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary()),
-            ], ["id", "n", "digest"])
+                pa.array(low, pa.binary()),
+            ], ["id", "n", "digest", "low"])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, n long, digest binary")
+    return docs.mapInArrow(run, f"id {kind}, n long, digest binary, low binary")
 
 
-def frequent(docs: DataFrame, width: int, percent: int, size: int) -> tuple[np.ndarray, np.ndarray, float]:
+def frequent(members: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, float]:
     """The ``size`` most frequent tokens of the prefixes by hash order (their low
     halves), with the power of two of their counts, and the mean excess over one of
     all counts. They only steer the order: any table gives the same result."""
     def count(batches):
-        hashes = WordHashes()
-        for part in rows(batches):
-            found = [shingles([w.lower() for w in words], hashes, width) for words in byte_words(part)]
-            low = [s[: len(s) - int(needed(len(s), percent)) + 1].astype(np.uint32) for s in found if len(s)]
+        for part in rows(batches, "low"):
+            low = [np.frombuffer(x, np.uint32) for x in part.column("low").to_pylist() if x]
             token, n = np.unique(np.concatenate(low) if low else np.empty(0, np.uint32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int32)), pa.array(n)], ["token", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = members.select("low").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counted = materialise(counted.filter("n > 1"), "shingle-counts")
     top = counted.filter("n >= 4").orderBy(F.desc("n"), "token").limit(size).toPandas()
     total, kinds = counted.agg(F.sum("n"), F.count("*")).first()
@@ -112,14 +124,15 @@ def prefixes(docs: DataFrame, width: int, percent: int, table) -> DataFrame:
         hashes = WordHashes()
         for part in rows(batches):
             out = []
-            for at, words in enumerate(byte_words(part)):
-                own = shingles([w.lower() for w in words], hashes, width)
+            for at, words in enumerate(byte_words(part, lower=True)):
+                own = shingles(words, hashes, width)
                 n = len(own)
                 if not n:
                     continue
-                token, level = ordered(own, hot, levels)
+                spare = n - int(needed(n, percent))
+                token, level = head(own, min(n, spare + int(CHOICES[-1])), hot, levels)
                 k = choose(level, n, percent, background)
-                stop = n - int(needed(n, percent)) + k
+                stop = spare + k
                 out.append((at, xxhash.xxh3_128_digest(own.tobytes()), n, k, int(level[:stop].sum()),
                             token[:stop].tobytes()))
             cols = list(zip(*out)) or [()] * 6
@@ -133,19 +146,21 @@ def prefixes(docs: DataFrame, width: int, percent: int, table) -> DataFrame:
 
 
 def entries(prefix: DataFrame) -> DataFrame:
-    """``(token, id)`` for each token of each prefix."""
+    """``(token, id, place)`` for each token of each prefix."""
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 tokens = part.column("tokens").to_pylist()
-                owner = np.repeat(np.arange(len(tokens)), [len(t) // 8 for t in tokens])
+                size = [len(t) // 8 for t in tokens]
+                owner = np.repeat(np.arange(len(tokens)), size)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(b"".join(tokens), np.int64)), part.column("id").take(pa.array(owner))],
-                    ["token", "id"])
+                    [pa.array(np.frombuffer(b"".join(tokens), np.int64)), part.column("id").take(pa.array(owner)),
+                     pa.array(place.astype(np.int32))], ["token", "id", "place"])
 
     kind = dict(prefix.dtypes)["id"]
-    return prefix.select("id", "tokens").mapInArrow(run, f"token long, id {kind}")
+    return prefix.select("id", "tokens").mapInArrow(run, f"token long, id {kind}, place int")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -156,14 +171,14 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     def build(batches):
         hashes = WordHashes()
         for part in rows(batches):
-            found = [shingles([w.lower() for w in words], hashes, width) for words in byte_words(part)]
+            found = [shingles(words, hashes, width) for words in byte_words(part, lower=True)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "tokens"])
 
     whole = materialise(docs.join(involved, "id", "left_semi").mapInArrow(build, f"id {kind}, tokens binary"), "sets")
 
     def compare(batches):
-        for batch in batches:
+        for batch in rows(batches, "x"):
             keep = []
             for at, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -178,15 +193,27 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
         "a", "b", "x", "y").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
-def plausible(counted: DataFrame, about: DataFrame, percent: int) -> DataFrame:
-    """Of pairs ``(a, b, shared)`` those that share enough prefix tokens and have
-    possible sizes."""
-    c = F.col
-    one = about.select(c("id").alias("a"), c("n").alias("an"), c("k").alias("ak"))
-    two = about.select(c("id").alias("b"), c("n").alias("bn"), c("k").alias("bk"))
-    return counted.join(one, "a").join(two, "b").filter(
-        (c("shared") >= F.least("ak", "bk"))
-        & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))).select("a", "b")
+def multi_matched(pairs: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that share enough prefix tokens: min(k, k'), and so many that
+    the rest of the longer remainder could make up what similarity needs."""
+    kind = dict(prefix.dtypes)["id"]
+
+    def compare(batches):
+        for part in rows(batches, "at"):
+            keep = []
+            columns = [part.column(c).to_pylist() for c in ("an", "ak", "at", "bn", "bk", "bt")]
+            for row, (an, ak, at, bn, bk, bt) in enumerate(zip(*columns)):
+                shared = len(np.intersect1d(np.frombuffer(at, np.uint64), np.frombuffer(bt, np.uint64), True))
+                left = max(an - len(at) // 8, bn - len(bt) // 8)
+                if shared >= min(ak, bk) and shared + left >= -(-percent * (an + bn) // (100 + percent)):
+                    keep.append(row)
+            yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    def side(name: str) -> DataFrame:
+        return prefix.select(F.col("id").alias(name), *(F.col(c).alias(name + c[0]) for c in ("n", "k", "tokens")))
+
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.select("a", "b", "an", "ak", "at", "bn", "bk", "bt").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
@@ -201,10 +228,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     ``hot`` bounds the table of frequent shingles that every task gets."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    members = materialise(sets(docs, width), "shingle-sets")
+    members = materialise(sets(docs, width, percent), "shingle-sets")
     classes = materialise(
         members.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "shingle-classes")
-    table = frequent(docs, width, percent, hot)
+    table = frequent(members, hot)
     release(spark)
     reps = classes.select("digest", F.col("rep").alias("id")).filter("id IS NOT NULL")
     prefix = materialise(prefixes(docs, width, percent, table).join(reps, ["id", "digest"], "left_semi"), "prefixes")
@@ -215,29 +242,48 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     shared = materialise(listed.join(common, "token"), "shared-tokens")
     release(spark)
 
+    # A pair of sizes m and n shares at least ``needs`` tokens, and from its first shared
+    # token on both have that many left. Pairs without such a token are never formed.
+    c = F.col
+
+    def possible(one: str, two: str):
+        both = c(f"{one}_n") + c(f"{two}_n")
+        needs = F.ceil(percent * both / (100 + percent) - 1e-9)
+        sizes = 100 * F.least(f"{one}_n", f"{two}_n") >= percent * F.greatest(f"{one}_n", f"{two}_n")
+        return sizes, F.least(c(f"{one}_n") - c(f"{one}_place"), c(f"{two}_n") - c(f"{two}_place")) >= needs
+
+    def named_as(frame: DataFrame, name: str, *columns: str) -> DataFrame:
+        return frame.select(c("token").alias(f"{name}_token"), *(c(x).alias(f"{name}_{x}") for x in columns))
+
     # First the pairs with the most central document of each token's list: the one
     # whose own prefix is the most frequent, so the least altered of its group.
-    c = F.col
+    fields = ("id", "place", "n", "k")
+    detailed = materialise(shared.join(about, "id"), "shared-details")
     rank = F.struct("weight", F.xxhash64("id").alias("h"))
-    ranked = shared.join(about.select("id", "weight"), "id")
-    centre = ranked.groupBy("token").agg(F.max_by("id", rank).alias("centre"))
-    star = shared.join(centre, "token").filter("id <> centre").groupBy(
-        F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).agg(F.count("*").alias("shared"))
-    tried = materialise(plausible(star, about, percent), "star-pairs")
+    centre = detailed.groupBy("token").agg(F.max_by(F.struct(*fields), rank).alias("c")).select("token", "c.*")
+    sizes, bound = possible("x", "y")
+    star = named_as(detailed, "x", *fields).join(named_as(centre, "y", *fields), c("x_token") == c("y_token"))
+    star = star.filter((c("x_id") != c("y_id")) & sizes).groupBy(
+        F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), F.least("x_k", "y_k").alias("k")
+    ).agg(F.count("*").alias("shared"), F.max(bound).alias("possible")).filter("possible AND shared >= k")
+    tried = materialise(star.select("a", "b").distinct(), "star-pairs")
     links = materialise(verified(tried, docs, width, percent), "star-links")
     release(spark)
 
-    # Then every pair across components, with all the tokens it shares.
-    found = components(links)
-    named = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "token", "id", F.coalesce("component", "id").alias("comp"))
-    named = materialise(named, "shared-components")
+    # Then every pair across components.
+    found = components(links).withColumnRenamed("node", "id")
+    named = materialise(
+        detailed.join(found, "id", "left").withColumn("comp", F.coalesce("component", "id")), "shared-components")
     split = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     mixed = materialise(named.join(split.select("token"), "token"), "mixed-tokens")
-    other = mixed.select("token", c("id").alias("b"), c("comp").alias("comp_b"))
-    met = mixed.select("token", c("id").alias("a"), "comp").join(other, "token").filter("a < b AND comp <> comp_b")
-    rest = plausible(met.groupBy("a", "b").agg(F.count("*").alias("shared")), about, percent)
-    rest = materialise(rest.join(tried, ["a", "b"], "left_anti"), "rest-pairs")
+    fields = ("id", "place", "n", "comp")
+    sizes, bound = possible("a", "b")
+    met = named_as(mixed, "a", *fields).join(
+        named_as(mixed, "b", *fields),
+        (c("a_token") == c("b_token")) & (c("a_id") < c("b_id")) & (c("a_comp") != c("b_comp")) & sizes & bound)
+    rest = materialise(met.select(c("a_id").alias("a"), c("b_id").alias("b")).distinct(), "met-pairs")
+    rest = multi_matched(rest.join(tried, ["a", "b"], "left_anti"), prefix, percent)
+    rest = materialise(rest, "rest-pairs")
     more = materialise(verified(rest, docs, width, percent), "rest-links")
     release(spark)
     found = components(links.unionByName(more)).select(c("node").alias("rep"), "component")
