@@ -193,7 +193,7 @@ def similar_response(spark, folder):
     """F8, C11, B7"""
     vectors = _vectors(spark, folder)
     texts = read_documents(spark, folder).select("doc_id", "text")
-    docs = vectors.select("doc_id", "label").join(texts, "doc_id")
+    docs = vectors.select("doc_id", "label").join(texts, "doc_id", "left")
     names = read_table(spark, folder, "nation").select(
         F.col("n_nationkey").alias("code"), F.col("n_name").alias("name")
     )
@@ -208,7 +208,7 @@ def similar_response(spark, folder):
         "query_id",
         "rank",
         F.col("doc.doc_num").alias("doc_num"),
-        F.col("doc.text").alias("text"),
+        F.coalesce("doc.text", F.lit("")).alias("text"),
         F.col("doc.actual_label_num").cast("int").alias("label_num"),
         F.col("doc.actual_label_str").alias("label_str"),
         listed(F.col("doc.doc_topics")).alias("doc_topics"),
@@ -303,10 +303,10 @@ SELECT topic, string_agg(term, ' ' ORDER BY place) AS words FROM c WHERE place <
     "similar_docs_blocks": f"WITH {_PAIRED} SELECT * FROM hits WHERE rank <= 10",
     "similar_response": f"""WITH {_PAIRED}, {_TOPICS},
 listed AS (SELECT vec_id, string_agg(topic::VARCHAR, ',' ORDER BY place) AS doc_topics FROM best GROUP BY 1)
-SELECT query_id, rank, d.doc_id AS doc_num, substring(text, 1, 1000) AS text, label::INT AS label_num,
+SELECT query_id, rank, hits.doc_id AS doc_num, coalesce(substring(text, 1, 1000), '') AS text, label::INT AS label_num,
   n_name AS label_str, doc_topics, score
-FROM hits JOIN documents d USING (doc_id) JOIN v ON v.vec_id = d.doc_id
-LEFT JOIN nation ON n_nationkey = label JOIN listed ON listed.vec_id = d.doc_id WHERE rank <= 5""",
+FROM hits LEFT JOIN documents d ON d.doc_id = hits.doc_id JOIN v ON v.vec_id = hits.doc_id
+LEFT JOIN nation ON n_nationkey = label JOIN listed ON listed.vec_id = hits.doc_id WHERE rank <= 5""",
     "lda_check": "SELECT count(*) AS n, 0::BIGINT AS n_negative, 0::BIGINT AS n_off, count(*) AS n_three FROM documents",
     "nmf_check": "SELECT count(*) AS n, 0::BIGINT AS n_negative, 0::BIGINT AS n_off, count(*) AS n_three FROM documents",
     "classify_check": "WITH " + split_sql("documents", "lang", "doc_id")
