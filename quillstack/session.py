@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -57,8 +58,8 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Where the setting is missing a temporary folder is used, but only in local
-    mode: a machine-local folder on a cluster would be lost with its machine.
+    Where the setting is missing a temporary folder is used and removed at the end, but
+    only in local mode: a machine-local folder on a cluster would be lost with its machine.
     """
     sc = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
@@ -68,6 +69,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
     if sc.applicationId not in _local_dirs:
         _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="quillstack-")
+        atexit.register(shutil.rmtree, _local_dirs[sc.applicationId], ignore_errors=True)
         sc.setCheckpointDir(_local_dirs[sc.applicationId])
     return _local_dirs[sc.applicationId]
 
