@@ -94,10 +94,28 @@ def sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, n long, digest binary, low binary")
 
 
-def frequent(members: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """The ``size`` most frequent tokens of the prefixes by hash order (their low
-    halves), with the power of two of their counts, and the mean excess over one of
-    all counts. They only steer the order: any table gives the same result."""
+def _top(counted: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    top = counted.filter("n >= 4").orderBy(F.desc("n"), "token").limit(size).toPandas()
+    return top["token"].to_numpy(np.int32).view(np.uint32), top["n"].to_numpy(np.float64)
+
+
+def _table(token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens, each with the power of two of its largest count."""
+    order = np.lexsort((-n, token))
+    token, first = np.unique(token[order], return_index=True)
+    return token, np.floor(np.log2(np.maximum(n[order][first], 1))).astype(np.int64)
+
+
+def frequent(members: DataFrame, docs: DataFrame, width: int, percent: int,
+             size: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Frequent tokens (their low halves) with the power of two of their counts, and the
+    mean excess over one of all counts. They only steer the order: any table gives the
+    same result.
+
+    The ``size`` most frequent tokens of the prefixes by hash order come first. Putting
+    them last would bring up the other tokens of the same texts, so documents of which
+    a fourth of that prefix is frequent have all their tokens counted, and again the
+    ``size`` most frequent are taken."""
     def count(batches):
         for part in rows(batches, "low"):
             low = [np.frombuffer(x, np.uint32) for x in part.column("low").to_pylist() if x]
@@ -106,13 +124,27 @@ def frequent(members: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, flo
 
     counted = members.select("low").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counted = materialise(counted.filter("n > 1"), "shingle-counts")
-    top = counted.filter("n >= 4").orderBy(F.desc("n"), "token").limit(size).toPandas()
+    token, n = _top(counted, size)
     total, kinds = counted.agg(F.sum("n"), F.count("*")).first()
-    token = top["token"].to_numpy(np.int32).view(np.uint32)
-    level = np.floor(np.log2(np.maximum(top["n"].to_numpy(np.float64), 1))).astype(np.int64)
-    by = np.argsort(token)
     background = min(1.0, ((total or 0) - (kinds or 0)) / max(1, (total or 0) + (kinds or 0)))
-    return token[by], level[by], max(background, 0.05)
+    shared = docs.sparkSession.sparkContext.broadcast(_table(token, n))
+
+    def count_all(batches):
+        hashes = WordHashes()
+        for part in rows(batches):
+            chosen = []
+            for words in byte_words(part, lower=True):
+                own = shingles(words, hashes, width)
+                first = own[: len(own) - int(needed(len(own), percent)) + 1]
+                _, level = ordered(first, *shared.value)
+                if len(own) and 4 * int((level >= 4).sum()) >= len(first):
+                    chosen.append(own.astype(np.uint32))
+            found, n = np.unique(np.concatenate(chosen) if chosen else np.empty(0, np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int32)), pa.array(n)], ["token", "n"])
+
+    more = docs.select("text").mapInArrow(count_all, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    token2, n2 = _top(more, size)
+    return *_table(np.concatenate([token, token2]), np.concatenate([n, n2])), max(background, 0.05)
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, table) -> DataFrame:
@@ -225,13 +257,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     component is the smallest id that links lead to. A null, empty or wordless text has
     no shingle and its own id. Rows of one id are judged each by its own text. Rows
     without an id get the component of the equal and similar texts, null if none.
-    ``hot`` bounds the table of frequent shingles that every task gets."""
+    Twice ``hot`` bounds the table of frequent shingles that every task gets."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     members = materialise(sets(docs, width, percent), "shingle-sets")
     classes = materialise(
         members.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "shingle-classes")
-    table = frequent(members, hot)
+    table = frequent(members, docs, width, percent, hot)
     release(spark)
     reps = classes.select("digest", F.col("rep").alias("id")).filter("id IS NOT NULL")
     prefix = materialise(prefixes(docs, width, percent, table).join(reps, ["id", "digest"], "left_semi"), "prefixes")
