@@ -63,3 +63,42 @@ def test_odd_rows(spark):
     assert [g for g in got if g[0] != 7] == sorted((w for w in want if w[0] != 7), key=str)
     assert next(g for g in got if g[0] == 7) == (7, "p", 4, 3)
     assert ld.dedupe_lines(docs.limit(0)).count() == 0
+
+
+def brute_passages(docs, run, words):
+    """As ``brute``, with windows of fewer lines that hold ``words`` words as runs too."""
+    seen, out = set(), {}
+    for i, text in sorted(docs.items()):
+        lines = ld.lines_of(text)
+        gone = set()
+        for size in range(1, run + 1):
+            for s in range(len(lines) - size + 1):
+                key = tuple(x for _, x in lines[s:s + size])
+                if size < run and sum(len(x.split()) for x in key) < words:
+                    continue
+                if key in seen:
+                    gone |= {lines[k][0] for k in range(s, s + size)}
+                seen.add(key)
+        out[i] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+    return out
+
+
+def test_long_passages(spark):
+    long, half = " ".join(f"w{i}" for i in range(50)), " ".join(f"h{i}" for i in range(25))
+    short = " ".join(f"w{i}" for i in range(49))
+    docs = {1: f"{long}\na", 2: f"b\n{long}", 3: long, 4: f"{half}\n{half} x", 5: f"c\n{half}\n \n{half} x\nd",
+            6: short, 7: short, 8: f"{long}\n{long}"}
+    rng = random.Random(6)
+    for i in range(100, 200):
+        docs[i] = "\n".join(rng.choice([long, half, short, "a", "b c", ""]) for _ in range(rng.randint(1, 12)))
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in ld.dedupe_lines(frame, passage_words=50).collect()}
+    assert got == brute_passages(docs, 3, 50)
+    assert (got[2], got[3], got[5], got[7]) == ("b", "", "c\n \nd", short)
+
+
+def test_long_passages_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.text for r in ld.dedupe_lines(docs, passage_words=50).collect()}
+    assert got == brute_passages(texts, 3, 50) != brute(texts, 3)
