@@ -109,10 +109,11 @@ def op8_host_rules(spark, folder):
 
 
 def near_duplicate_stage(spark, docs, folder):
-    """One document of each group of similar texts: the one of smallest id."""
+    """One document of each group of similar texts: the one of smallest id. Texts are
+    similar here at 0.8 on sets of five words; op9 has its own contract."""
     from quillstack.llm import jaccard_join
 
-    found = jaccard_join.join(docs).select(F.col("doc_id").alias("id"), "component_id")
+    found = jaccard_join.join(docs, percent=80, width=5).select(F.col("doc_id").alias("id"), "component_id")
     first = found.filter("id = component_id OR id IS NULL").select("id").distinct()
     return docs.join(first, docs["doc_id"].eqNullSafe(first["id"]), "left_semi")
 

@@ -1,11 +1,14 @@
 """The pipeline, each stage judged on its own input."""
 
 import hashlib
+import random
 
 import corpus_pipeline
 from test_jaccard_join import brute as components_of
 from test_line_dedup import brute as without_runs
 
+from quillstack.llm.queries import near_duplicate_stage
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -37,3 +40,49 @@ def test_stages(spark):
 def test_run(spark):
     found = corpus_pipeline.run(spark, FOLDER)
     assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and found.count() > 30
+
+
+def first_of_groups(docs, percent=80, width=5):
+    """Smallest id of each group linked by similar sets of words in a row, over all pairs."""
+    sets = {}
+    for i, text in docs:
+        words = "".join(c.lower() if c.isascii() else c for c in text or "").split()
+        sets[i] = {tuple(words[k:k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+    top = {i: i for i in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1:]:
+            same = len(sets[a] & sets[b])
+            if same and 100 * same >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    return {find(i) for i in ids}
+
+
+def test_near_duplicates_at_five_words(spark):
+    """Copies whose last words differ: 0.8 on five words can be less than 0.85 on four."""
+    rng = random.Random(3)
+    docs = []
+    for _ in range(30):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(40, 120))]
+        for _ in range(rng.randint(1, 4)):
+            change = rng.randint(0, len(words) // 7)
+            docs.append(" ".join(words[:len(words) - change] + [f"x{rng.randint(0, 10**6)}" for _ in range(change)]))
+    docs = list(enumerate(docs))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [r.doc_id for r in near_duplicate_stage(spark, frame, None).collect()]
+    want = first_of_groups(docs)
+    assert sorted(got) == sorted(want)
+    assert want != first_of_groups(docs, 85, 4)
+
+
+def test_near_duplicates_of_a_table(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = [r.doc_id for r in near_duplicate_stage(spark, frame, None).collect()]
+    assert sorted(got) == sorted(first_of_groups([(r.doc_id, r.text) for r in frame.collect()]))
