@@ -15,6 +15,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from quillstack.llm.common import WordHashes, byte_words, rows
 from quillstack.session import materialise
@@ -46,36 +48,105 @@ class Topics:
         return np.argmax((vectors - np.array([self.means.get(x, zero) for x in langs])) @ self.centres.T, axis=1)
 
 
-def learn_topics(docs: DataFrame, lang: str, count: int = 8, width: int = 128, sample: int = 4000,
-                 rounds: int = 15, seed: int = 5) -> Topics:
-    """Spherical k-means on about ``sample`` documents, chosen by a hash of the text."""
-    topics = Topics(width, {}, np.empty((0, width)))
-    total = docs.count()
-    if not total:
-        return topics
-    draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = docs.select(F.col(lang).alias("lang"), "text").filter("text IS NOT NULL").filter(draw < sample / total)
+#: Sums of vectors are taken in whole steps of this size, so they do not depend on the
+#: order of rows and a rerun gives the same topics.
+STEPS = float(1 << 24)
+
+
+def cell_sums(frame: DataFrame, kind: str, add) -> dict:
+    """``{key: (count, sums)}`` over all rows. ``add(totals, batch)`` adds the rows of a
+    batch to a dict of ``[count, sums of steps]``; only those sums leave a task."""
+    def partial(batches):
+        totals = {}
+        for batch in batches:
+            add(totals, batch)
+        names, places, values = [], [], []
+        for name, (count, sums) in totals.items():
+            at = np.flatnonzero(sums)
+            names += [name] * (len(at) + 1)
+            places += [-1, *at.tolist()]
+            values += [count, *sums[at].tolist()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, arrow_kind), pa.array(places, pa.int32()), pa.array(values, pa.int64())], ["key", "place", "value"])
+
+    schema = f"key {kind}, place int, value long"
+    arrow_kind = to_arrow_type(StructType.fromDDL(schema)["key"].dataType)
+    cells = frame.mapInArrow(partial, schema).groupBy("key", "place").agg(F.sum("value").alias("value"))
+    out = {}
+    for name, place, value in cells.collect():
+        out.setdefault(name, {})[place] = value
+    return {name: (sums.pop(-1), sums) for name, sums in out.items()}
+
+
+def word_counts(docs: DataFrame, lang: str, source: str | None = None, width: int = 128) -> DataFrame:
+    """``(source, lang, h, tokens, counts)``, stored: a hash of the words of each document
+    with a word, their number, and their counts by hash."""
+    kinds = dict(docs.dtypes)
+    kind = f"struct<source: {kinds[source] if source else 'int'}, lang: {kinds[lang]}>"
 
     def read(batches):
         hashes = WordHashes()
         for part in rows(batches):
             texts = byte_words(part)
-            x = topics.vectors(texts, hashes)
+            at = [k for k, words in enumerate(texts) if words]
+            counts = [np.bincount((hashes.of(texts[k]) % np.uint64(width)).astype(np.int64), minlength=width) for k in at]
             yield pa.RecordBatch.from_arrays(
-                [part.column("lang"), pa.array([xxhash.xxh3_64_intdigest(b" ".join(w)) >> 1 for w in texts], pa.int64()),
-                 pa.array(list(x), pa.list_(pa.float64()))], ["lang", "h", "x"])
+                [part.column("of").take(pa.array(at, pa.int64())),
+                 pa.array([xxhash.xxh3_64_intdigest(b" ".join(texts[k])) >> 1 for k in at], pa.int64()),
+                 pa.array([len(texts[k]) for k in at], pa.int64()),
+                 pa.array([c.astype(np.int32).tobytes() for c in counts], pa.binary())], ["of", "h", "tokens", "counts"])
+
+    own = F.col(source) if source else F.lit(0)
+    packed = docs.select(F.struct(own.alias("source"), F.col(lang).alias("lang")).alias("of"), "text")
+    found = packed.mapInArrow(read, f"of {kind}, h long, tokens long, counts binary")
+    return materialise(found.select("of.source", "of.lang", "h", "tokens", "counts"), "topic-counts")
+
+
+def units(column: pa.Array, width: int) -> np.ndarray:
+    """The vectors of stored counts."""
+    x = np.sqrt(np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, width))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    kind = dict(chosen.dtypes)["lang"]
-    found = chosen.mapInArrow(read, f"lang {kind}, h long, x array<double>").toPandas()
-    found = found.drop_duplicates("h").sort_values("h")
-    if not len(found):
+
+def learn_topics(found: DataFrame, count: int = 8, width: int = 128, sample: int = 4000,
+                 rounds: int = 15, seed: int = 5) -> Topics:
+    """Spherical k-means over all rows of ``word_counts``. Language means and the sums of
+    each round are aggregates over all rows; the driver holds means and centres. Only
+    the centres to start from are drawn from about ``sample`` distinct texts."""
+    topics = Topics(width, {}, np.empty((0, width)))
+    kind = dict(found.dtypes)["lang"]
+
+    def steps(x: np.ndarray) -> np.ndarray:
+        return np.rint(x * STEPS).astype(np.int64)
+
+    def collect(totals: dict, names, x: np.ndarray) -> None:
+        names = np.array(names, object)
+        for name in set(names.tolist()):
+            own = names == name if name is not None else np.array([n is None for n in names])
+            total = totals.setdefault(name, [0, np.zeros(width, np.int64)])
+            total[0] += int(own.sum())
+            total[1] += steps(x[own]).sum(axis=0)
+
+    def by_lang(totals, batch):
+        if batch.num_rows:
+            collect(totals, batch.column("lang").to_pylist(), units(batch.column("counts"), width))
+
+    def dense(sums: dict) -> np.ndarray:
+        out = np.zeros(width)
+        out[list(sums)] = np.array(list(sums.values()), np.float64) / STEPS
+        return out
+
+    topics.means = {name: dense(sums) / n for name, (n, sums) in cell_sums(found, kind, by_lang).items()}
+    if not topics.means:
         return topics
-    x = np.stack(found["x"].to_numpy())
-    names = found["lang"].to_numpy()
-    for name in set(names):
-        own = np.array([n == name for n in names])
-        topics.means[name] = x[own].mean(axis=0)
-        x[own] -= topics.means[name]
+    kinds = found.select("h").distinct().count()
+    draw = F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    # The distinct texts are told apart before anything is collected.
+    start = found.filter(draw < sample / kinds).groupBy("h").agg(F.min("lang").alias("lang"), F.first("counts").alias("counts"))
+    start = start.sort("h").collect()
+    if not start:  # a draw can miss all of a few texts
+        start = found.groupBy("h").agg(F.min("lang").alias("lang"), F.first("counts").alias("counts")).orderBy("h").limit(1).collect()
+    x = units(pa.array([bytes(r.counts) for r in start], pa.binary()), width) - np.array([topics.means[r.lang] for r in start])
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), 1)]
     while len(centres) < min(count, len(x)):
@@ -83,9 +154,19 @@ def learn_topics(docs: DataFrame, lang: str, count: int = 8, width: int = 128, s
         far = np.maximum(far, 1e-12)
         centres = np.vstack([centres, x[rng.choice(len(x), p=far / far.sum())]])
     for _ in range(rounds):
-        at = np.argmax(x @ centres.T, axis=1)
-        sums = np.array([x[at == k].sum(axis=0) if (at == k).any() else centres[k] for k in range(len(centres))])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-300)
+        now = Topics(width, topics.means, centres)
+
+        def by_centre(totals, batch):
+            if batch.num_rows:
+                langs, own = batch.column("lang").to_pylist(), units(batch.column("counts"), width)
+                collect(totals, now.assign(own, langs).tolist(), own - np.array([now.means[g] for g in langs]))
+
+        sums = cell_sums(found, "long", by_centre)
+        new = np.array([dense(sums[k][1]) if k in sums else centres[k] for k in range(len(centres))])
+        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-300)
+        if np.array_equal(new, centres):
+            break
+        centres = new
     topics.centres = centres
     return topics
 
@@ -109,6 +190,23 @@ def with_topics(docs: DataFrame, topics: Topics, lang: str) -> DataFrame:
     return out.select("_row.*", "_topic", "_tokens")
 
 
+def cell_tokens(found: DataFrame, topics: Topics) -> DataFrame:
+    """``(source, lang, topic, tokens)``: sums over the rows of ``word_counts``."""
+    shared = found.sparkSession.sparkContext.broadcast(topics)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                at = shared.value.assign(units(batch.column("counts"), shared.value.width), batch.column("lang").to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("source"), batch.column("lang"), pa.array(at, pa.int64()), batch.column("tokens")],
+                    [*DIMENSIONS, "tokens"])
+
+    kinds = dict(found.dtypes)
+    marked = found.mapInArrow(run, f"source {kinds['source']}, lang {kinds['lang']}, topic long, tokens long")
+    return marked.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+
+
 def tempered(cells: pd.DataFrame, dimension: str, power: float) -> dict:
     """Target shares in proportion to the token sums raised to ``power``."""
     sums = cells.groupby(dimension, dropna=False)["tokens"].sum() ** power
@@ -153,11 +251,10 @@ def mix(docs: DataFrame, source: str = "source", lang: str = "lang", id_col: str
     combination of values, goes through the driver: more than ``max_cells`` is an error."""
     own = ("topic", "n_tokens", "probability", "kept")
     docs = docs.select(*(c for c in docs.columns if c not in own))
-    topics = learn_topics(docs, lang)
+    found = word_counts(docs, lang, source)
+    topics = learn_topics(found)
     marked = with_topics(docs, topics, lang)
-    sums = materialise(
-        marked.groupBy(F.col(source).alias("source"), F.col(lang).alias("lang"), F.col("_topic").alias("topic"))
-        .agg(F.sum("_tokens").alias("tokens")), "mixing-cells")
+    sums = materialise(cell_tokens(found, topics), "mixing-cells")
     count = sums.count()
     if count > max_cells:
         raise ValueError(f"{count} cells of source, language and topic; fold rare values first")

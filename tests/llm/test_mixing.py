@@ -72,3 +72,33 @@ def test_odd_rows(spark):
     assert mx.mix(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mx.mix(docs, max_cells=2)
+
+
+def test_topics_over_all_documents(spark):
+    """Means and centres come from all rows, however few texts start the centres."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{rng.integers(0, 9)}" for _ in range(30)), "en") for i in range(400)]
+    rows += [(1000 + i, f"r{i} r r", "rare") for i in range(2)] + [(2000 + i, "copy of one text", "en") for i in range(300)]
+    rows += [(3000, None, "en"), (3001, " ", "none"), (3002, "no language", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    topics = mx.learn_topics(mx.word_counts(docs, "lang"), count=3, sample=20)
+    assert set(topics.means) == {"en", "rare", None} and len(topics.centres) == 3
+    kept = [(t.encode().split(), g) for _, t, g in rows if t and t.split()]
+    x, langs = topics.vectors([w for w, _ in kept], mx.WordHashes()), [g for _, g in kept]
+    for name, mean in topics.means.items():
+        own = np.array([g == name for g in langs])
+        assert mean == pytest.approx(x[own].mean(axis=0), abs=1e-6)
+    # A fixed point of k-means over all rows: each centre is the direction of its rows' sum.
+    at = topics.assign(x, langs)
+    away = x - np.array([topics.means[g] for g in langs])
+    for k in range(3):
+        total = away[at == k].sum(axis=0)
+        assert topics.centres[k] == pytest.approx(total / np.linalg.norm(total), abs=1e-4)
+    again = mx.learn_topics(mx.word_counts(docs.repartition(7), "lang"), count=3, sample=20)
+    assert np.array_equal(again.centres, topics.centres)
+
+
+def test_one_sampled_text_starts(spark):
+    docs = spark.createDataFrame([(i, f"word{i} a b", "en") for i in range(50)], "doc_id long, text string, lang string")
+    topics = mx.learn_topics(mx.word_counts(docs, "lang"), sample=0)
+    assert len(topics.centres) == 1 and set(topics.means) == {"en"}
