@@ -141,6 +141,18 @@ def op10_line_winnowing(spark, folder):
         "doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_subword_quality(spark, folder):
+    from quillstack.llm import quality
+
+    held = F.coalesce(hold_out(F.col("doc_id"), 5) == 0, F.lit(False))
+    docs = read_table(spark, folder, "documents")
+    labels = read_table(spark, folder, "labels").filter(~held)
+    known = docs.join(labels.select("doc_id", F.col("quality").alias("_label")), "doc_id")
+    model = quality.train(known, F.col("text"), F.col("_label"))
+    scored = model.score(docs.select("doc_id", "text"), 1)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_language_bitmask": op1_language_bitmask,
     "op2_raked_mixture": op2_raked_mixture,
@@ -152,6 +164,7 @@ QUERIES = {
     "op8_host_rules": op8_host_rules,
     "op9_jaccard_prefixes": op9_jaccard_prefixes,
     "op10_line_winnowing": op10_line_winnowing,
+    "op13_subword_quality": op13_subword_quality,
 }
 
 SQL: dict[str, str] = {}
