@@ -58,9 +58,10 @@ def _toxicity_model(spark, folder):
 
 
 def toxicity_stage(spark, docs, folder):
-    """The documents that are not predicted to be toxic."""
-    scored = _toxicity_model(spark, folder).score(docs.withColumn("_row", F.struct(*docs.columns)), "_row")
-    return scored.filter("predicted = 0").select("_row.*")
+    """The documents that are not predicted to be toxic. Null and empty texts are scored
+    like others, repeated rows fare alike, columns of any name stay, and an empty table
+    stays empty. Without labels nothing is rejected."""
+    return _toxicity_model(spark, folder).accepted(docs)
 
 
 def op4_toxicity(spark, folder):

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstack.llm.common import WORD, rows
 from quillstack.session import materialise
@@ -119,23 +121,21 @@ def features(text: str | None, codes: Codes, weights: np.ndarray) -> list[float]
 
 
 def add_features(docs: DataFrame, lexicon: list[tuple[str, float]], text_col: str = "text") -> DataFrame:
-    """Replaces the text column by ``features``, an array of the FEATURES in order; a
-    null, empty or wordless text has zeros."""
+    """Adds ``features``, an array of the FEATURES in order; a null, empty or wordless
+    text has zeros. Only the text travels to Python and only the features come back:
+    the rows themselves stay where they are."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    others = [f for f in docs.schema.names if f != text_col]
 
-    def run(batches):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codes = Codes([w for w, _ in shared.value])
         weights = np.array([0.0, *(x for _, x in shared.value)])
-        for part in rows(batches, text_col):
-            found = [features(t, codes, weights) for t in part.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in others), pa.array(found, pa.list_(pa.float64()))],
-                [*others, "features"])
+        for column in columns:
+            found = []
+            for part in rows([pa.RecordBatch.from_arrays([column], ["text"])]):
+                found += [features(t, codes, weights) for t in part.column(0).to_pylist()]
+            yield pa.array(found, pa.list_(pa.float64()))
 
-    kinds = dict(docs.dtypes)
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in others) + "features array<double>"
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn("features", F.arrow_udf(run, T.ArrayType(T.DoubleType()))(F.col(text_col)))
 
 
 def learn_lexicon(labelled: DataFrame, size: int = 400, least: int = 3,
@@ -186,7 +186,19 @@ class Model:
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``(id, score, predicted)`` for each row of ``docs``, empty and null texts
         too; other columns are not looked at."""
-        picked = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"))
+        return self._scored(docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"))).select(
+            F.col("_id").alias(id_col), "score", "predicted")
+
+    def accepted(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """The rows of ``docs`` that are not predicted to be toxic, unchanged. Null and
+        empty texts are scored as well; repeated rows fare alike; an empty table stays empty."""
+        others = [c for c in docs.columns if c != text_col]
+        row = F.struct(*(docs[c] for c in others)) if others else F.lit(0)
+        kept = self._scored(docs.select(row.alias("_id"), docs[text_col].alias("text"))).filter("predicted = 0")
+        return kept.select(*(F.col("text" if c == text_col else f"_id.`{c}`").alias(c) for c in docs.columns))
+
+    def _scored(self, picked: DataFrame) -> DataFrame:
+        """(_id, text) with score and predicted."""
         if self.trees is None:
             out = picked.withColumn("score", F.lit(float(self.constant)))
         else:
@@ -197,7 +209,7 @@ class Model:
             else:
                 raw = self.calibration.transform(raw)
             out = raw.withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
-        return out.select(F.col("_id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        return out.select("_id", "text", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def train(labelled: DataFrame, sample: int = 20_000, iterations: int = 20, depth: int = 3,
@@ -221,7 +233,7 @@ def train(labelled: DataFrame, sample: int = 20_000, iterations: int = 20, depth
         return Model(constant=share)
     lexicon = learn_lexicon(fitting)
     dense = materialise(
-        add_features(chosen, lexicon).repartition(8).withColumn("_features", array_to_vector("features")),
+        add_features(chosen, lexicon).drop("text").repartition(8).withColumn("_features", array_to_vector("features")),
         "toxicity-features")
     trees = GBTClassifier(
         featuresCol="_features", labelCol="label", predictionCol="_class", maxIter=iterations,
