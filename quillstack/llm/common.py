@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SLICE_BYTES = 2 << 20
@@ -43,6 +43,24 @@ def hold_out(doc_id, parts: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))
 
 
+def join_split(big: DataFrame, small: DataFrame, key: str, spread: Column, salts: int = 64,
+               share: int = 4096) -> DataFrame:
+    """``big`` joined to the stored ``small`` on ``key``, keys of very many rows split.
+
+    ``small`` holds a key once, with ``n``, the number of its rows in ``big`` (not
+    returned). Keys of more than one in ``share`` of all those rows, fewer than ``share``
+    keys by nature, are dealt by ``spread`` over ``salts`` partitions."""
+    from pyspark.sql import functions as F
+
+    least = (small.agg(F.sum("n")).first()[0] or 0) / share
+    hot = F.broadcast(small.filter(F.col("n") > least).select(F.col(key).alias("_hot")))
+    marked = big.join(hot, F.col(key) == F.col("_hot"), "left")
+    dealt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0)
+    left = marked.withColumn("_salt", dealt.cast("int")).drop("_hot")
+    copies = F.when(F.col("n") > least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(small.withColumn("_salt", F.explode(copies)).drop("n"), [key, "_salt"]).drop("_salt")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A well mixed 64-bit value of each 64-bit value."""
     x = x.astype(np.uint64, copy=True)

@@ -2,13 +2,15 @@
 
 A document is the sequence of its lines that hold a word, without outer white space.
 Of every ``run`` consecutive lines the one of smallest hash (the last on a tie) is a
-fingerprint, so any shared run of that length or more shares a fingerprint. Only
-fingerprints travel: the positions of those that occur twice are joined, each is
-extended both ways to the runs around it, and all but the first occurrence of a run
-are deleted. Runs that follow each other merge into longer ones.
+fingerprint, so any shared run of that length or more shares a fingerprint. No text
+travels: the positions of fingerprints that occur twice are joined, with the hashes of
+the windows they stand for, each is extended both ways to the runs around it, and all
+but the first occurrence of a run are deleted. Runs that follow each other merge into
+longer ones.
 
 Where ``passage_words`` is given, one line or a few that hold so many words are a run
-too. There each such window is a fingerprint of its own.
+too. There each such window is a fingerprint of its own. Fingerprints and windows that
+very many documents share are split over many tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import rows
+from quillstack.llm.common import join_split, rows
 from quillstack.session import materialise
 
 SPACE = " \t\n\v\f\r"
@@ -100,14 +102,15 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, run: int,
                 ["key", "fp", "start", "size", "runs"])
 
     found = materialise(keyed.mapInArrow(positions, SCHEMA.format(kind)), "line-fingerprints")
-    again = found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
+    again = materialise(found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1"), "line-repeats")
     near = materialise(
-        found.join(again, "fp").select("key", "start", "size", F.posexplode("runs").alias("step", "name"))
+        join_split(found, again, "fp", F.struct("key", "start"))
+        .select("key", "start", "size", F.posexplode("runs").alias("step", "name"))
         .select("name", "key", "size", (F.col("start") + F.col("step")).alias("start")), "line-runs")
     place = F.struct("key", "start")
-    first = near.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.filter("first <> last").select("name", "first")
-    later = near.join(first, "name").filter(place != F.col("first"))
+    groups = near.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    first = materialise(groups.filter("first <> last").select("name", "first", "n"), "line-firsts")
+    later = join_split(near, first, "name", place).filter(place != F.col("first"))
     return later.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("starts"))
 
 

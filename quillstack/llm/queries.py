@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstack.llm.common import hold_out
-from quillstack.session import read_table
+from quillstack.session import materialise, read_table
 
 RANKS = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
+#: One or two lines that hold so many words are a run of lines too.
+PASSAGE_WORDS = 50
 
 
 def _tokenizer(name: str) -> str:
@@ -28,7 +30,8 @@ def op1_language_bitmask(spark, folder):
 
 
 def mixing_stage(spark, docs, folder):
-    """The documents sampled to the target mix."""
+    """The documents sampled to the target mix. Null and empty texts have no token and
+    no topic of their own; an empty table stays empty."""
     from quillstack.llm import mixing
 
     return mixing.mix(docs).filter("kept").select(*docs.columns)
@@ -111,12 +114,25 @@ def op8_host_rules(spark, folder):
 
 def near_duplicate_stage(spark, docs, folder):
     """One document of each group of similar texts: the one of smallest id. Texts are
-    similar here at 0.8 on sets of five words; op9 has its own contract."""
+    similar here at 0.8 on sets of five words; op9 has its own contract.
+
+    A document is known by its id and a hash of its text, so null and repeated ids do no
+    harm: an id comes before no id, then the smaller hash counts. Of rows that agree in
+    both, one stays. Null, empty and wordless texts resemble nothing and all stay. An
+    empty table stays empty; columns of any name are kept."""
     from quillstack.llm import jaccard_join
 
-    found = jaccard_join.join(docs, percent=80, width=5).select(F.col("doc_id").alias("id"), "component_id")
-    first = found.filter("id = component_id OR id IS NULL").select("id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["id"]), "left_semi")
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    found = jaccard_join.join(docs.select(key.alias("key"), "text"), "key", percent=80, width=5)
+    first = materialise(found.filter("key = component_id").groupBy("key").agg(
+        ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("repeated")), "near-firsts")
+    row = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    single = row.join(first.filter("NOT repeated").select("key"), "key", "left_semi").select("row")
+    repeated = materialise(first.filter("repeated").select("key"), "near-repeats")
+    order = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), order.alias("order"))
+    one = keyed.join(repeated, "key", "left_semi").groupBy("key").agg(F.max_by("row", "order").alias("row")).select("row")
+    return single.unionByName(one).select("row.*")
 
 
 def op9_jaccard_prefixes(spark, folder):
@@ -128,11 +144,13 @@ def op9_jaccard_prefixes(spark, folder):
 def _lines(docs):
     from quillstack.llm import line_dedup
 
-    return line_dedup.dedupe_lines(docs)
+    return line_dedup.dedupe_lines(docs, passage_words=PASSAGE_WORDS)
 
 
 def line_stage(spark, docs, folder):
-    """Repeated runs of lines deleted; documents of which no word is left go with them."""
+    """Repeated runs of lines deleted; documents of which no word is left go with them.
+    Null and empty texts stay, as do rows of repeated or null ids and columns of any name
+    (rows that agree in id and text are one document); an empty table stays empty."""
     left = _lines(docs).filter((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.select(*docs.columns)
 
@@ -217,12 +235,15 @@ l AS (
   FROM (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM raw)
   WHERE s <> ''),
 win AS (
-  SELECT doc_id, p, s || chr(10) || lead(s, 1) OVER w || chr(10) || lead(s, 2) OVER w AS k
-  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+  SELECT doc_id, p, unnest([1, 2, 3]) AS size, unnest([w, w + lead(w, 1) OVER v, 50]) AS words,
+         unnest([s, s || chr(10) || lead(s, 1) OVER v,
+                 s || chr(10) || lead(s, 1) OVER v || chr(10) || lead(s, 2) OVER v]) AS k
+  FROM (SELECT *, len(string_split_regex(s, '[ \\t\\n\\v\\f\\r]+')) AS w FROM l)
+  WINDOW v AS (PARTITION BY doc_id ORDER BY p)),
 later AS (
-  SELECT doc_id, p FROM win WHERE k IS NOT NULL
+  SELECT doc_id, p, size FROM win WHERE k IS NOT NULL AND words >= 50
   QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 3)) AS p FROM later),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS p FROM later),
 cut AS (SELECT doc_id, pos FROM gone JOIN l USING (doc_id, p)),
 kept AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY raw.pos) AS t FROM raw ANTI JOIN cut USING (doc_id, pos)
