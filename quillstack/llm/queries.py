@@ -160,6 +160,13 @@ def op10_line_winnowing(spark, folder):
         "doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_dual_tree_codes(spark, folder):
+    from quillstack.llm import vector_codes
+
+    coded, books = vector_codes.compress(read_table(spark, folder, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 def op13_subword_quality(spark, folder):
     from quillstack.llm import quality
 
@@ -183,6 +190,7 @@ QUERIES = {
     "op8_host_rules": op8_host_rules,
     "op9_jaccard_prefixes": op9_jaccard_prefixes,
     "op10_line_winnowing": op10_line_winnowing,
+    "op11_dual_tree_codes": op11_dual_tree_codes,
     "op13_subword_quality": op13_subword_quality,
 }
 
@@ -254,3 +262,45 @@ FROM documents LEFT JOIN kept USING (doc_id)
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id) n USING (doc_id)
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id) g USING (doc_id)
 """
+
+
+def _vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Lloyd rounds written out one after the other. Points are rows (rid, part, x)."""
+    steps, book = [], "c0"
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT rid, part, any_value(x) AS x, min({{'d': d, 'e': e}}) AS best FROM (
+    SELECT p.rid, p.part, p.x, c.e,
+           list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM p JOIN {book} c USING (part)) GROUP BY rid, part)""")
+        if n < rounds:
+            steps.append(f"""
+m{n} AS (
+  SELECT part, e, list(floor_div ORDER BY i) AS x FROM (
+    SELECT part, best.e AS e, i, (sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS floor_div
+    FROM (SELECT part, best, unnest(x)::BIGINT AS v, generate_subscripts(x, 1) AS i FROM a{n}) GROUP BY ALL)
+  GROUP BY part, e),
+c{n + 1} AS MATERIALIZED (SELECT part, e, coalesce(m{n}.x::BIGINT[], {book}.x) AS x FROM {book} LEFT JOIN m{n} USING (part, e))""")
+            book = f"c{n + 1}"
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT rid, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS x
+  FROM (SELECT rid, v, unnest(range({parts})) AS part FROM kept)),
+c0 AS (SELECT part, rid - 1 AS e, x FROM p WHERE rid <= {entries}),{",".join(steps)},
+books AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM {book}),
+coded AS (
+  SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error
+  FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (rid) CROSS JOIN books
+"""
+
+
+SQL["op11_dual_tree_codes"] = _vector_codes_sql()
