@@ -167,6 +167,12 @@ def op11_dual_tree_codes(spark, folder):
     return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
 
 
+def op12_letter_count_trees(spark, folder):
+    from quillstack.llm import spelling
+
+    return spelling.group_variants(spelling.counted_words(read_table(spark, folder, "documents")))
+
+
 def op13_subword_quality(spark, folder):
     from quillstack.llm import quality
 
@@ -191,6 +197,7 @@ QUERIES = {
     "op9_jaccard_prefixes": op9_jaccard_prefixes,
     "op10_line_winnowing": op10_line_winnowing,
     "op11_dual_tree_codes": op11_dual_tree_codes,
+    "op12_letter_count_trees": op12_letter_count_trees,
     "op13_subword_quality": op13_subword_quality,
 }
 
@@ -304,3 +311,44 @@ FROM coded JOIN kept USING (rid) CROSS JOIN books
 
 
 SQL["op11_dual_tree_codes"] = _vector_codes_sql()
+
+SQL["op12_letter_count_trees"] = """
+WITH RECURSIVE bytes AS (SELECT unnest(range(256)) AS i),
+crc AS (
+  SELECT list(list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)
+              ORDER BY i) AS t FROM bytes),
+runs AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+    FROM documents) GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(list_reduce(
+    list_transform(range(len(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT),
+    lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295), 4294967295) AS h
+  FROM (SELECT run, n, hex(encode(doc_id || ':' || run)) AS x FROM runs), crc),
+said AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT)
+         ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM said WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS MATERIALIZED (
+  SELECT word, i, left(word, i) AS a, substr(word, i + 2) AS b
+  FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT x.word, y.word AS other FROM cut x JOIN cut y USING (i, a, b) WHERE x.word <> y.word
+  UNION SELECT cut.word, words.word FROM cut JOIN words ON words.word = a || b
+  UNION SELECT words.word, cut.word FROM cut JOIN words ON words.word = a || b),
+best AS (
+  SELECT near.word, count(*) AS n_near, min({'n': -w.n, 'word': other}) AS b
+  FROM near JOIN words w ON w.word = other GROUP BY near.word),
+formed AS MATERIALIZED (
+  SELECT word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.n >= 5 * words.n THEN b.word END AS form,
+         CASE WHEN -b.n >= 5 * words.n THEN -b.n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, coalesce(form, word) AS root FROM formed
+  UNION SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = root WHERE formed.form IS NOT NULL)
+SELECT word, formed.form, root, formed.n, formed.n_near, formed.form_n
+FROM chain JOIN formed USING (word) JOIN (SELECT word AS root FROM formed WHERE form IS NULL) USING (root)
+"""
