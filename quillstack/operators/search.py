@@ -9,8 +9,10 @@ Every matcher returns ``(query_id, doc_id, score)``, one row per match.
   adds their scores; otherwise every listed field must match.
 
 The words of the queries are stored before they meet the index: Spark then knows their
-size and sends them to the postings, not the postings to them. ``docs`` restricts a
-search to some documents before anything is grouped; scores do not change.
+size and sends them to the postings, not the postings to them, and a short list of words
+is given to the scan. ``docs`` restricts a search to some documents where the postings
+are read; scores do not change. Postings and matches of a document stay in the bucket
+of its cell until the best are chosen.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.distance import allowed_edits, edit_distance, with_deletion_keys
 from quillstack.functions.tokens import search_tokens
-from quillstack.operators.search_index import GRAM, SearchIndex
+from quillstack.operators.search_index import CELL, GRAM, SearchIndex
 from quillstack.session import materialise
 
 K1, B = 1.2, 0.75
@@ -36,13 +38,6 @@ def _for_fields(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
     return rows.withColumn("field", F.explode(F.array(*[F.lit(f) for f in fields])))
 
 
-def _postings(index: SearchIndex, docs: DataFrame | None) -> DataFrame:
-    """The postings, of the allowed documents only."""
-    if docs is None:
-        return index.postings
-    return index.postings.join(docs.select("doc_id"), "doc_id", "left_semi")
-
-
 def query_words(queries: DataFrame) -> DataFrame:
     """(query_id, term, copies, n_terms): distinct words of each query."""
     tokens = queries.select("query_id", search_tokens(F.col("query_text")).alias("words"))
@@ -61,7 +56,7 @@ def bm25(idf: Column, tf: Column, length: Column, avg_len: Column) -> Column:
 def _combine(per_field: DataFrame, n_fields: int, any_field: bool, best: bool) -> DataFrame:
     """Fields to one score: best or sum for any field, sum over all fields otherwise."""
     total = F.max("score") if any_field and best else F.sum("score")
-    grouped = per_field.groupBy("query_id", "doc_id").agg(
+    grouped = per_field.groupBy("query_id", CELL, "doc_id").agg(
         total.alias("score"), F.count("*").alias("n_fields")
     )
     if not any_field:
@@ -77,14 +72,82 @@ def match_normal(
     words = _for_fields(query_words(queries), fields)
     known = index.word_stats(words.select("field", "term").distinct())
     wanted = materialise(words.join(known, ["field", "term"]), "query-words")
+    return _score_normal(index.postings(wanted, docs), wanted, len(fields), any_field)
+
+
+def _score_normal(postings: DataFrame, wanted: DataFrame, n_fields: int, any_field: bool) -> DataFrame:
+    keys = [c for c in wanted.columns if c in postings.columns]
     part = F.col("copies") * bm25(F.col("idf"), F.col("tf"), F.col("len"), F.col("avg_len"))
     per_field = (
-        _postings(index, docs).drop("positions").join(wanted, ["field", "term"])
-        .groupBy("query_id", "doc_id", "field", "n_terms")
+        postings.join(wanted, keys)
+        .groupBy("query_id", CELL, "doc_id", "field", "n_terms")
         .agg(F.count("*").alias("matched"), F.sum(part).alias("score"))
         .filter(F.col("matched") == F.col("n_terms"))
     )
-    return _combine(per_field, len(fields), any_field, best=True)
+    return _combine(per_field, n_fields, any_field, best=True)
+
+
+#: Cells that are scored first, for each query and each hit asked for.
+FIRST_CELLS = 2
+
+
+@dataclass(frozen=True)
+class BestHits:
+    """``hits`` as by ``top_hits``; ``read`` and ``asked``: how many postings of the asked
+    words were scored, and how many there are."""
+
+    hits: DataFrame
+    read: int
+    asked: int
+
+
+def best_normal(
+    index: SearchIndex, queries: DataFrame, fields: Sequence[str] = ("text",), any_field: bool = True,
+    docs: DataFrame | None = None, k: int = TOP_HITS,
+) -> BestHits:
+    """The ``k`` best hits of a normal search without scoring all matches.
+
+    Every block knows its largest term frequency and its least length, which bound the
+    contribution of its word. A cell can be left out if it lacks a word of the query or
+    if its bounds add up to less than the k-th best score of the cells that look best;
+    of the others only the blocks of asked words are opened. Documents of a cell are of
+    similar length, so the bounds are close."""
+    words = _for_fields(query_words(queries), fields)
+    known = index.word_stats(words.select("field", "term").distinct())
+    wanted = materialise(words.join(known, ["field", "term"]), "query-words")
+    blocks = index.asked_blocks(wanted)
+    c = F.col
+    most = c("copies") * bm25(c("idf"), c("max_tf"), c("min_len"), c("avg_len"))
+    bounds = (
+        blocks.select(CELL, "field", "term", "n", "max_tf", "min_len").join(wanted, ["field", "term"])
+        .groupBy("query_id", CELL, "field", "term", "n_terms").agg(F.max(most).alias("most"), F.sum("n").alias("n"))
+        .groupBy("query_id", CELL, "field", "n_terms")
+        .agg(F.count("*").alias("matched"), F.sum("most").alias("most"), F.sum("n").alias("n"))
+    )
+    full = c("matched") == c("n_terms")
+    total = F.max(F.when(full, c("most"))) if any_field else F.sum(F.when(full, c("most")))
+    enough = F.count_if(full) >= (1 if any_field else len(fields))
+    cells = materialise(bounds.groupBy("query_id", CELL).agg(
+        total.alias("most"), enough.alias("possible"), F.sum("n").alias("n")), "query-cells")
+    order = Window.partitionBy("query_id").orderBy(c("most").desc(), CELL)
+    possible = cells.filter("possible").withColumn("place", F.row_number().over(order))
+    first = materialise(possible.filter(c("place") <= FIRST_CELLS * k).select("query_id", CELL, "n"), "first-cells")
+
+    def score(chosen: DataFrame) -> DataFrame:
+        opened = blocks.join(chosen.select(CELL).distinct(), CELL, "left_semi")
+        asked = wanted.join(chosen.select("query_id", CELL), "query_id")
+        return _score_normal(index.postings(wanted, docs, blocks=opened), asked, len(fields), any_field)
+
+    found = materialise(top_hits(score(first), k), "first-hits")
+    kth = found.filter(c("rank") == k).select("query_id", c("score").alias("kth"))
+    rest = (
+        cells.filter("possible").join(first, ["query_id", CELL], "left_anti").join(kth, "query_id", "left")
+        .filter(c("kth").isNull() | (c("most") >= c("kth") - 1e-6)).select("query_id", CELL, "n")
+    )
+    rest = materialise(rest, "further-cells")
+    counted = [t.agg(F.sum("n")).first()[0] or 0 for t in (first, rest, cells)]
+    matches = found.select("query_id", "doc_id", "score").unionByName(score(rest))
+    return BestHits(top_hits(matches, k), counted[0] + counted[1], counted[2])
 
 
 def match_phrase(
@@ -110,24 +173,23 @@ def match_phrase(
         .filter(F.col("n_known") == F.col("n")),
         "query-phrases",
     )
-    postings = _postings(index, docs)
     leads = weighed.filter("lead").select("query_id", "field", "term")
-    held = postings.select("field", "term", "doc_id").join(leads, ["field", "term"]).select("query_id", "field", "doc_id")
+    held = index.postings(weighed.filter("lead"), docs).join(leads, ["field", "term"]).select("query_id", "field", "doc_id", CELL)
     held = materialise(held, "query-leads")
     begin = F.col("at") - F.col("offset")
     starts = (
-        postings.drop("tf").join(weighed, ["field", "term"])
-        .join(held, ["query_id", "field", "doc_id"], "left_semi")
-        .select("query_id", "doc_id", "field", "n", "idf", "avg_len", "len", "offset", F.explode("positions").alias("at"))
-        .groupBy("query_id", "doc_id", "field", "n", "idf", "avg_len", "len", begin.alias("begin"))
+        index.postings(weighed, docs, positions=True).drop("tf").join(weighed, ["field", "term"])
+        .join(held.drop(CELL), ["query_id", "field", "doc_id"], "left_semi")
+        .select("query_id", CELL, "doc_id", "field", "n", "idf", "avg_len", "len", "offset", F.explode("positions").alias("at"))
+        .groupBy("query_id", CELL, "doc_id", "field", "n", "idf", "avg_len", "len", begin.alias("begin"))
         .agg(F.count("*").alias("met"))
         .filter((F.col("begin") >= 0) & (F.col("met") == F.col("n")))
     )
     per_field = (
-        starts.groupBy("query_id", "doc_id", "field", "idf", "avg_len", "len")
+        starts.groupBy("query_id", CELL, "doc_id", "field", "idf", "avg_len", "len")
         .agg(F.count("*").alias("tf"))
         .select(
-            "query_id", "doc_id", "field",
+            "query_id", CELL, "doc_id", "field",
             bm25(F.col("idf"), F.col("tf"), F.col("len"), F.col("avg_len")).alias("score"),
         )
     )
@@ -179,8 +241,8 @@ def match_wildcard(
     expanded = expand_wildcards(index, queries.filter(F.col("query_text") != ""), fields)
     expanded = materialise(expanded, "query-expansions")
     per_field = (
-        _postings(index, docs).select("field", "term", "doc_id").join(expanded, ["field", "term"])
-        .select("query_id", "doc_id", "field")
+        index.postings(expanded, docs).select(CELL, "field", "term", "doc_id").join(expanded, ["field", "term"])
+        .select("query_id", CELL, "doc_id", "field")
         .distinct()
         .withColumn("score", F.lit(1.0))
     )
@@ -243,10 +305,10 @@ def match_fuzzy(
         * bm25(F.col("idf"), F.col("tf"), F.col("len"), F.col("avg_len"))
     )
     per_field = (
-        _postings(index, docs).drop("positions").join(wanted, ["field", "term"])
-        .groupBy("query_id", "doc_id", "field", "n_terms", "asked")
+        index.postings(wanted, docs).join(wanted, ["field", "term"])
+        .groupBy("query_id", CELL, "doc_id", "field", "n_terms", "asked")
         .agg(F.max(part).alias("part"))
-        .groupBy("query_id", "doc_id", "field", "n_terms")
+        .groupBy("query_id", CELL, "doc_id", "field", "n_terms")
         .agg(F.count("*").alias("matched"), F.sum("part").alias("score"))
         .filter(F.col("matched") == F.col("n_terms"))
     )
@@ -366,7 +428,9 @@ def project_hits(index: SearchIndex, hits: DataFrame, columns: Sequence[str]) ->
 @dataclass(frozen=True)
 class SearchRequest:
     """One search: type, fields, filters (conditions on document columns), order, value
-    counts and highlighting. Without ``sort_by`` the best scores come first."""
+    counts and highlighting. Without ``sort_by`` the best scores come first. The hits are
+    those of rank ``offset`` + 1 to ``offset`` + ``size``; ``suggest`` adds spelling
+    suggestions, but for wildcards."""
 
     mode: str = "normal"
     fields: tuple[str, ...] = ("text",)
@@ -377,17 +441,20 @@ class SearchRequest:
     columns: tuple[str, ...] = ()
     highlight: str | None = None
     size: int = TOP_HITS
+    offset: int = 0
+    suggest: bool = False
 
 
 @dataclass(frozen=True)
 class SearchAnswer:
     """``hits`` (query_id, doc_id, score, rank and the asked columns), ``total`` per
-    query, and ``counts`` and ``fragments`` where they were asked for."""
+    query, and ``counts``, ``fragments`` and ``suggestions`` where they were asked for."""
 
     hits: DataFrame
     total: DataFrame
     counts: DataFrame | None = None
     fragments: DataFrame | None = None
+    suggestions: DataFrame | None = None
     matches: DataFrame | None = field(default=None, repr=False)
 
 
@@ -396,24 +463,29 @@ def run(index: SearchIndex, queries: DataFrame, request: SearchRequest) -> Searc
 
     Queries without a word match every document that passes the filters."""
     from quillstack.operators.highlight import highlights
+    from quillstack.operators.suggest import suggestions
 
     docs = allowed(index, *request.filters) if request.filters else None
-    wordless = F.size(search_tokens(F.col("query_text"))) == 0
-    empty = materialise(queries.filter(wordless | F.col("query_text").isNull()).select("query_id"), "empty-queries")
+    # A pattern of symbols alone has no word but is not empty.
+    wordless = F.lit(False) if request.mode == "wildcard" else F.size(search_tokens(F.col("query_text"))) == 0
+    nothing = wordless | F.col("query_text").isNull() | (F.col("query_text") == "")
+    empty = materialise(queries.filter(nothing).select("query_id"), "empty-queries")
     matches = match(index, queries, request.mode, request.fields, request.any_field, docs)
-    everything = index.docs if docs is None else docs
-    at_all = everything.select("doc_id", F.lit(1.0).alias("score"), F.lit(1).alias("one")).join(
-        empty.withColumn("one", F.lit(1)), "one").select("query_id", "doc_id", "score")
-    matches = materialise(matches.unionByName(at_all), "matches")
+    if empty.limit(1).count():  # stored queries, and every document is a match of each
+        everything = index.docs if docs is None else docs
+        matches = matches.unionByName(everything.select("doc_id", F.lit(1.0).alias("score")).crossJoin(empty))
+    matches = materialise(matches, "matches")
+    until = request.offset + request.size
     if request.sort_by:
         names = [s.lstrip("-") for s in request.sort_by]
-        hits = sorted_hits(index, matches, request.sort_by, request.size).drop(*names)
+        hits = sorted_hits(index, matches, request.sort_by, until).drop(*names)
     else:
-        hits = top_hits(matches, request.size)
-    hits = materialise(hits, "hits")
+        hits = top_hits(matches, until)
+    hits = materialise(hits.filter(F.col("rank") > request.offset), "hits")
     fragments = None
     if request.highlight:
         fragments = highlights(index, hits, query_words(queries), request.highlight)
     counts = value_counts(index, matches, request.count_by) if request.count_by else None
     shown = project_hits(index, hits, request.columns) if request.columns else hits
-    return SearchAnswer(shown, total_hits(queries, matches), counts, fragments, matches)
+    offered = suggestions(index, queries) if request.suggest and request.mode != "wildcard" else None
+    return SearchAnswer(shown, total_hits(queries, matches), counts, fragments, offered, matches)

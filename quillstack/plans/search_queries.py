@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstack.operators import search
 from quillstack.operators.highlight import answer_fragments, highlights
-from quillstack.operators.search_index import SearchIndex
+from quillstack.operators.search_index import CELL, SearchIndex
 from quillstack.operators.suggest import suggestions
 from quillstack.session import read_documents, read_table, stored_once
 
@@ -28,8 +28,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def index(spark: SparkSession, folder: str) -> SearchIndex:
     """The index of a folder, built and stored at first use in this application."""
     docs = documents(spark, folder)
-    path = stored_once(spark, folder, "search-index", lambda p: SearchIndex.build(docs, "doc_id", FIELDS, p))
-    return SearchIndex(docs, FIELDS, path)
+    return SearchIndex.open(
+        spark, stored_once(spark, folder, "search-index", lambda p: SearchIndex.build(docs, "doc_id", FIELDS, p)))
 
 
 def literal_queries(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
@@ -68,12 +68,59 @@ def _phrases(any_field: bool):
 
 def postings(spark, folder):
     """G1"""
-    return index(spark, folder).postings.select(
+    return _flat_postings(index(spark, folder))
+
+
+def _flat_postings(index: SearchIndex) -> DataFrame:
+    return index.postings(positions=True).select(
         "field", "term", "doc_id", "tf", F.col("len").cast("long").alias("len"),
         F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"),
     )
 
 
+def grown_index(spark: SparkSession, folder: str) -> SearchIndex:
+    """The documents in three additions, of which the second replaces older versions
+    that the first brought, and then those marked toxic removed."""
+    docs = documents(spark, folder)
+    gone = read_table(spark, folder, "labels").filter(F.col("toxic") == 1).select("doc_id")
+    second = F.coalesce(F.col("lang").isin("fr", "de"), F.lit(False))
+    first = F.coalesce(F.col("lang") == "en", F.lit(False))
+    older = docs.filter(second).withColumn("text", F.concat("title", F.lit(" older "), F.reverse("title")))
+
+    def write(path):
+        index = SearchIndex.build(docs.filter(first).unionByName(older), "doc_id", FIELDS, path)
+        index = index.add(docs.filter(second)).add(docs.filter(~first & ~second))
+        index.add(removed=gone)
+
+    return SearchIndex.open(spark, stored_once(spark, folder, "grown-search-index", write))
+
+
+def grown_postings(spark, folder):
+    """Additions, replacements and removals"""
+    return _flat_postings(grown_index(spark, folder))
+
+
+def grown_hits(spark, folder):
+    """Statistics of the grown index"""
+    matches = search.match_normal(grown_index(spark, folder), literal_queries(spark, WORDS), FIELDS)
+    return _hits(search.top_hits(matches))
+
+
+def merged_postings(spark, folder):
+    """G1: the grown index in one segment again"""
+    def write(path):
+        grown = grown_index(spark, folder)
+        merged = SearchIndex.build(grown.docs.drop(CELL).limit(0), "doc_id", FIELDS, path).add(grown.docs.drop(CELL))
+        merged.merge()
+
+    return _flat_postings(SearchIndex.open(spark, stored_once(spark, folder, "merged-search-index", write)))
+
+
+def best_hits(spark, folder):
+    """G2, G14 by block bounds"""
+    return _hits(search.best_normal(index(spark, folder), literal_queries(spark, WORDS), FIELDS).hits)
+
+
 SOURCES = ["src1", "src2", "src3", "src5", "src8"]
 SIZES = {"gte": 300, "lt": 6000}
 
@@ -189,6 +236,10 @@ QUERIES = {
     "search_highlight": highlight,
     "search_fragments": fragments,
     "search_suggest": suggest,
+    "search_grown_postings": grown_postings,
+    "search_grown_hits": grown_hits,
+    "search_merged_postings": merged_postings,
+    "search_best_hits": best_hits,
 }
 
 # --- the same results in SQL -------------------------------------------------
@@ -380,3 +431,9 @@ best AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY round(sim, 6)
   FROM near WHERE sim >= 0.5)
 SELECT query_id, asked, rank, term, df FROM unknown JOIN best USING (asked) WHERE rank <= 5""",
 }
+
+# An index that grew and one merged from it are those of the documents that are left.
+_GROWN = ("FROM documents)", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))")
+SQL["search_grown_postings"] = SQL["search_merged_postings"] = SQL["search_postings"].replace(*_GROWN)
+SQL["search_grown_hits"] = SQL["search_normal_any"].replace(*_GROWN)
+SQL["search_best_hits"] = SQL["search_normal_any"]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillstack.operators import search
 from quillstack.operators.highlight import highlights
-from quillstack.operators.search_index import SearchIndex
+from quillstack.operators.search_index import CELL, SearchIndex
 from quillstack.operators.suggest import suggestions
 
 DOCS = [
@@ -116,12 +116,12 @@ def test_equal_scores_rank_by_document(spark, index):
 
 
 def test_index_reopens(spark, index):
-    again = SearchIndex(index.docs, index.fields, index.path)
+    again = SearchIndex.open(spark, index.path)
     q = queries(spark, "red fox", "the", "qucik")
     for mode in search.MODES:
         a = {tuple(r) for r in search.match(index, q, mode).collect()}
         assert a == {tuple(r) for r in search.match(again, q, mode).collect()}
-    places = index.postings.filter("doc_id = 3 AND field = 'text' AND term = 'red'").first()
+    places = index.postings(positions=True).filter("doc_id = 3 AND field = 'text' AND term = 'red'").first()
     assert list(places["positions"]) == [0, 1, 2] and places["tf"] == 3
 
 
@@ -145,11 +145,38 @@ def test_one_call(spark, index):
     assert answer.fragments.filter("query_id = '0'").count() == 3
 
 
-def test_no_tokens_are_shuffled(spark, index):
-    """Postings meet the query words without an exchange of their own."""
-    plan = search.match_normal(index, queries(spark, "red fox"))._jdf.queryExecution().executedPlan().toString()
-    scan = plan[plan.index("postings"):] if "postings" in plan else plan
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and scan
+def test_nothing_moves_before_the_best_are_chosen(spark, index):
+    """A filtered search joins, groups and scores without an exchange of postings."""
+    few = search.allowed(index, search.terms_filter("source", ["a"]))
+    plan = search.match_normal(index, queries(spark, "red fox"), docs=few)._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [" in plan or "EqualTo(term" in plan or "In(" in plan
+    assert "Exchange hashpartitioning" not in plan and "Bucketed: true" in plan
+
+
+def test_filter_without_broadcast(spark, index):
+    """Where nothing is small enough to broadcast, only postings of asked words and
+    allowed documents are exchanged."""
+    few = search.allowed(index, search.terms_filter("source", ["a"]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = search.match_normal(index, queries(spark, "red fox"), docs=few)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = ids(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [("0", 1)]
+    lines = plan.splitlines()
+    scan = next(k for k, line in enumerate(lines) if "FileScan parquet" in line and "_blocks[" in line)
+
+    def depth(line):
+        return len(line) - len(line.lstrip(" :+-*()0123456789"))
+
+    # What stands between the scan and the join with the allowed documents.
+    joined = next(k for k in range(scan, -1, -1) if "Join" in lines[k])
+    assert f"[{CELL}#" in lines[joined]
+    assert not any("Exchange" in line for line in lines[joined:scan] if depth(line) < depth(lines[scan]))
+    assert "PushedFilters: [In(term" in lines[scan] or "EqualTo(term" in lines[scan]
 
 
 def test_highlight_and_suggest(spark, index):
@@ -169,3 +196,22 @@ def test_partition_count_does_not_matter(spark, index):
         results.append(sorted(map(tuple, search.top_hits(search.match_normal(index, q)).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[0] == results[1]
+
+
+def test_patterns_without_a_letter(spark, index):
+    """A pattern of symbols alone is a pattern, not an empty query."""
+    q = queries(spark, "*", "***", "?og", "")
+    answer = search.run(index, q, search.SearchRequest(mode="wildcard", fields=("text",), any_field=False))
+    assert {r["query_id"]: r["total"] for r in answer.total.collect()} == {"0": 4, "1": 4, "2": 3, "3": 6}
+    for mode in ("normal", "phrase", "fuzzy"):
+        answer = search.run(index, queries(spark, "*", "", "dog"), search.SearchRequest(mode=mode, fields=("text",), any_field=False))
+        assert {r["query_id"]: r["total"] for r in answer.total.collect()} == {"0": 6, "1": 6, "2": 3}
+
+
+def test_pages_and_suggestions(spark, index):
+    q = queries(spark, "fox", "quikc")
+    pages = [search.run(index, q, search.SearchRequest(size=2, offset=n)).hits.collect() for n in (0, 2)]
+    assert [(r["rank"], r["doc_id"]) for r in sorted(sum(pages, []), key=lambda r: r["rank"])] == [(1, 2), (2, 1), (3, 6)]
+    offered = search.run(index, q, search.SearchRequest(suggest=True)).suggestions
+    assert [(r["asked"], r["term"]) for r in offered.collect()] == [("quikc", "quick")]
+    assert search.run(index, q, search.SearchRequest(mode="wildcard", suggest=True)).suggestions is None
