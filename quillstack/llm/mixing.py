@@ -7,16 +7,17 @@ weight is the probability of keeping each of its documents, one at most.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
 
 from quillstack.llm.common import WordHashes, byte_words, rows
 from quillstack.session import materialise
@@ -70,7 +71,7 @@ def cell_sums(frame: DataFrame, kind: str, add) -> dict:
             [pa.array(names, arrow_kind), pa.array(places, pa.int32()), pa.array(values, pa.int64())], ["key", "place", "value"])
 
     schema = f"key {kind}, place int, value long"
-    arrow_kind = to_arrow_type(StructType.fromDDL(schema)["key"].dataType)
+    arrow_kind = to_arrow_type(T.StructType.fromDDL(schema)["key"].dataType)
     cells = frame.mapInArrow(partial, schema).groupBy("key", "place").agg(F.sum("value").alias("value"))
     out = {}
     for name, place, value in cells.collect():
@@ -171,23 +172,24 @@ def learn_topics(found: DataFrame, count: int = 8, width: int = 128, sample: int
     return topics
 
 
-def with_topics(docs: DataFrame, topics: Topics, lang: str) -> DataFrame:
-    """``docs`` with ``_topic`` and ``_tokens`` (its words) added."""
-    shared = docs.sparkSession.sparkContext.broadcast(topics)
+def topic_and_tokens(topics: Topics, spark: SparkSession, text: Column, lang: Column) -> Column:
+    """``(topic, tokens)`` of a text: its cluster and the number of its words. Only the
+    text and its language travel to Python."""
+    shared = spark.sparkContext.broadcast(topics)
 
-    def run(batches):
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         hashes = WordHashes()
-        for part in rows(batches, "_text"):
-            texts = byte_words(part, "_text")
-            at = shared.value.assign(shared.value.vectors(texts, hashes), part.column("_lang").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("_row"), pa.array(at, pa.int64()), pa.array([len(w) for w in texts], pa.int64())],
-                ["_row", "_topic", "_tokens"])
+        for pair in columns:
+            at, size = [np.empty(0, np.int64)], []
+            for part in rows([pa.RecordBatch.from_arrays(list(pair), ["text", "lang"])]):
+                texts = byte_words(part)
+                at.append(shared.value.assign(shared.value.vectors(texts, hashes), part.column("lang").to_pylist()))
+                size += [len(w) for w in texts]
+            yield pa.StructArray.from_arrays(
+                [pa.array(np.concatenate(at), pa.int64()), pa.array(size, pa.int64())], ["topic", "tokens"])
 
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(lang).alias("_lang"), F.col("text").alias("_text"))
-    kind = packed.schema["_row"].dataType.simpleString()
-    out = packed.mapInArrow(run, f"_row {kind}, _topic long, _tokens long")
-    return out.select("_row.*", "_topic", "_tokens")
+    kind = T.StructType([T.StructField("topic", T.LongType()), T.StructField("tokens", T.LongType())])
+    return F.arrow_udf(run, kind)(text, lang)
 
 
 def cell_tokens(found: DataFrame, topics: Topics) -> DataFrame:
@@ -239,37 +241,48 @@ def rake(cells: pd.DataFrame, targets: dict[str, dict], budget: float, rounds: i
 
 def mix(docs: DataFrame, source: str = "source", lang: str = "lang", id_col: str = "doc_id",
         budget_share: float = 0.6, powers: tuple[float, float, float] = (0.8, 0.9, 0.8),
-        max_cells: int = 200_000, seed: int = 3) -> DataFrame:
+        max_cells: int = 200_000, seed: int = 3, targets: dict[str, dict] | None = None) -> DataFrame:
     """``docs`` with ``topic``, ``n_tokens``, ``probability`` and ``kept`` added (columns
     of these names are replaced).
 
-    Targets are the corpus shares of sources, languages and topics, each raised to its
-    power; the kept tokens are expected to be ``budget_share`` of all. A document is
-    kept if a hash of its id and text falls below its probability, so a rerun keeps the
-    same ones and equal rows go together. A null source or language is a value of its
-    own; texts without a word have probability 0. The table of cells, one row for each
-    combination of values, goes through the driver: more than ``max_cells`` is an error."""
+    ``targets`` gives the shares of the values of ``source``, ``lang`` or ``topic``; they
+    are scaled to add up to one, and a value that is not named gets nothing. A dimension
+    without targets keeps the corpus shares of its values, each raised to its power. The kept tokens are
+    expected to be ``budget_share`` of all. A document is kept if a hash of its id and
+    text falls below its probability, so a rerun keeps the same ones and equal rows go
+    together. A null source or language is a value of its own; texts without a word have
+    probability 0. The table of cells, one row for each combination of values, goes
+    through the driver: more than ``max_cells`` is an error."""
+    unknown = set(targets or {}) - set(DIMENSIONS)
+    if unknown:
+        raise ValueError(f"no such dimension: {sorted(unknown)}")
     own = ("topic", "n_tokens", "probability", "kept")
     docs = docs.select(*(c for c in docs.columns if c not in own))
     found = word_counts(docs, lang, source)
     topics = learn_topics(found)
-    marked = with_topics(docs, topics, lang)
     sums = materialise(cell_tokens(found, topics), "mixing-cells")
     count = sums.count()
     if count > max_cells:
         raise ValueError(f"{count} cells of source, language and topic; fold rare values first")
     cells = sums.toPandas().sort_values(list(DIMENSIONS), na_position="first").reset_index(drop=True)
-    targets = {d: tempered(cells, d, p) for d, p in zip(DIMENSIONS, powers)}
-    cells["probability"] = rake(cells, targets, budget_share * float(cells["tokens"].sum()))
+    shares = {d: tempered(cells, d, p) for d, p in zip(DIMENSIONS, powers)}
+    for dimension, given in (targets or {}).items():
+        shares[dimension] = {value: weight / (sum(given.values()) or 1.0) for value, weight in given.items()}
+    cells["probability"] = rake(cells, shares, budget_share * float(cells["tokens"].sum()))
     kinds = dict(sums.dtypes)
     table = docs.sparkSession.createDataFrame(
         [(None if pd.isna(s) else s, None if pd.isna(g) else g, int(t), float(p))
          for s, g, t, p in cells[[*DIMENSIONS, "probability"]].itertuples(index=False)],
-        f"_s {kinds['source']}, _l {kinds['lang']}, _t long, _p double")
-    draw = F.pmod(F.xxhash64(id_col, "text", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    same = F.col(source).eqNullSafe(F.col("_s")) & F.col(lang).eqNullSafe(F.col("_l")) & (F.col("_topic") == F.col("_t"))
+        f"s {kinds['source']}, l {kinds['lang']}, t long, p double")
+    # The document is one column, so that no name of its own meets one of ours.
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    text, of_source, of_lang = (F.col(f"row.`{c}`") for c in ("text", source, lang))
+    marked = row.withColumn("found", topic_and_tokens(topics, docs.sparkSession, text, of_lang))
+    draw = F.pmod(F.xxhash64(F.col(f"row.`{id_col}`"), text, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    same = of_source.eqNullSafe(F.col("s")) & of_lang.eqNullSafe(F.col("l")) & (F.col("found.topic") == F.col("t"))
     # The cells number max_cells at most, which was checked.
     joined = marked.join(F.broadcast(table), same, "left")
-    probability = F.when(F.col("_tokens") > 0, F.coalesce("_p", F.lit(0.0))).otherwise(0.0)
-    return joined.select(*docs.columns, F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
-                         probability.alias("probability"), (draw < probability).alias("kept"))
+    probability = F.when(F.col("found.tokens") > 0, F.coalesce("p", F.lit(0.0))).otherwise(0.0)
+    return joined.select(*(F.col(f"row.`{c}`") for c in docs.columns), F.col("found.topic").alias("topic"),
+                         F.col("found.tokens").alias("n_tokens"), probability.alias("probability"),
+                         (draw < probability).alias("kept"))

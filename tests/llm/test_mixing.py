@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quillstack.llm import mixing as mx
 from quillstack.llm.queries import QUERIES
@@ -102,3 +103,43 @@ def test_one_sampled_text_starts(spark):
     docs = spark.createDataFrame([(i, f"word{i} a b", "en") for i in range(50)], "doc_id long, text string, lang string")
     topics = mx.learn_topics(mx.word_counts(docs, "lang"), sample=0)
     assert len(topics.centres) == 1 and set(topics.means) == {"en"}
+
+
+def test_given_targets_and_clashing_names(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{rng.integers(0, 50)}" for _ in range(rng.integers(5, 40))), "en" if i % 4 else "de", f"s{i % 3}",
+             1, 2, "x") for i in range(3000)]
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, _topic int, _tokens int, row string")
+    docs = docs.withColumn("s", F.lit(0)).withColumn("found", F.lit("f")).withColumn("p", F.lit(0.5))
+    out = mx.mix(docs, budget_share=0.2, targets={"source": {"s0": 6, "s1": 2, "gone": 2}, "lang": {"en": 1, "de": 1}})
+    assert out.columns == [*docs.columns, "topic", "n_tokens", "probability", "kept"]
+    found = out.toPandas()
+    share = (found.probability * found.n_tokens).groupby(found.source).sum() / found.n_tokens.sum()
+    assert share["s0"] / share["s1"] == pytest.approx(3, rel=1e-3) and share["s2"] == 0
+    by_lang = (found.probability * found.n_tokens).groupby(found.lang).sum()
+    assert by_lang["en"] == pytest.approx(by_lang["de"], rel=1e-3)
+    assert not found[found.source == "s2"].kept.any() and (found._topic == 1).all() and (found.p == 0.5).all()
+    with pytest.raises(ValueError):
+        mx.mix(docs, targets={"site": {}})
+
+
+def test_query_by_plain_loop(spark):
+    """The whole query: cells, raking and the draw, from the topics that the query found."""
+    found = QUERIES["op2_raked_mixture"](spark, FOLDER).toPandas()
+    words = {r.doc_id: len((r.text or "").split()) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    assert (found.n_tokens == found.doc_id.map(words)).all()
+    table = found[found.n_tokens > 0].groupby(list(mx.DIMENSIONS), dropna=False, as_index=False).n_tokens.sum()
+    table = table.rename(columns={"n_tokens": "tokens"})
+    total = table.tokens.sum()
+    targets = {}
+    for d, power in zip(mx.DIMENSIONS, (0.8, 0.9, 0.8)):
+        sums = table.groupby(d).tokens.sum() ** power
+        targets[d] = dict(sums / sums.sum())
+    weights = np.full(len(table), 0.6)
+    for _ in range(500):
+        for d, shares in targets.items():
+            now = (weights * table.tokens).groupby(table[d]).sum()
+            weights = np.minimum(weights * table[d].map(lambda v: shares[v] * 0.6 * total / now[v]), 1.0)
+    want = found.merge(table.assign(want=weights), on=list(mx.DIMENSIONS), how="left").want.fillna(0.0)
+    assert found.probability.to_numpy() == pytest.approx(np.where(found.n_tokens > 0, want, 0.0), abs=1e-6)
