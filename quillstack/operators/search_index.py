@@ -6,19 +6,16 @@ external tables, bucketed by cell: a filter on documents, the deletion of docume
 the gathering of the words of a query meet without moving postings. Within a file blocks
 are sorted by field and word, so a condition on words skips most of it.
 
-Each addition is a segment of its own. A commit row makes it visible once everything is
-written, so an addition that fails leaves nothing behind that is read, and one that is
-repeated under its batch name changes nothing. Documents that an addition replaces or
-removes get tombstones, and the statistics of words are sums over segments, with what the
-dead documents had counted taken off; they are those of an index built whole. There is
-one writer at a time.
+Each addition is a segment of its own; one that is repeated under its batch name changes
+nothing. Documents that an addition replaces or removes get tombstones, and the
+statistics of words are sums over segments, with what the dead documents had counted
+taken off; they are those of an index built whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
@@ -29,6 +26,7 @@ from pyspark.sql import types as T
 from quillstack.functions.distance import with_deletion_keys
 from quillstack.functions.tokens import search_tokens
 from quillstack.session import materialise, new_path, path_exists
+from quillstack.sources.segments import Commits
 
 GRAM = 3
 CELL_DOCS = 64
@@ -39,7 +37,6 @@ ROWS_AT_ONCE = 256
 #: Bytes of a row group: small, since sorted words are skipped by row group and page.
 GROUP_BYTES = 8 << 20
 CELL, SEGMENT = "_cell", "_segment"
-_COMMITS = "segment string, number long, replaces array<string>, batch string, tombstones boolean"
 
 
 def _block_rows(found: dict, ids: list, entries_type: pa.DataType) -> pa.RecordBatch:
@@ -125,7 +122,7 @@ class SearchIndex:
     fields: tuple[str, ...]
     buckets: int
     schema: T.StructType
-    commits: tuple
+    commits: Commits
 
     # -- life cycle ------------------------------------------------------------------
 
@@ -147,9 +144,7 @@ class SearchIndex:
     def open(spark: SparkSession, path: str) -> SearchIndex:
         """The index in a folder as of its last commit."""
         about = spark.read.parquet(f"{path}/about").first()
-        commits = ()
-        if path_exists(spark, f"{path}/commits/_SUCCESS"):
-            commits = tuple(spark.read.schema(_COMMITS).parquet(f"{path}/commits").orderBy("number").collect())
+        commits = Commits.read(spark, path)
         name = "search_" + hashlib.md5(path.encode()).hexdigest()[:16]
         schema = T.StructType.fromJson(json.loads(about["schema"]))
         index = SearchIndex(spark, path, name, tuple(about["fields"]), about["buckets"], schema, commits)
@@ -181,10 +176,9 @@ class SearchIndex:
         """The index with ``docs`` added, documents of the same ``doc_id`` replaced, and
         those of ``removed`` (doc_id) gone. Ids are distinct within ``docs``; one that is
         both added and removed is added. A ``batch`` that is committed is not added again."""
-        if batch is not None and any(c["batch"] == batch for c in self.commits):
+        if self.commits.has(batch):
             return self
-        segment = uuid.uuid4().hex
-        number = 1 + max((c["number"] for c in self.commits), default=0)
+        segment, number = self.commits.next()
         old = None
         if self.live:
             changed = [d.select("doc_id") for d in (docs, removed) if d is not None]
@@ -215,19 +209,15 @@ class SearchIndex:
         """The same index in one segment, without tombstones."""
         if len(self.live) < 2 and not self._has_dead:
             return self
-        segment = uuid.uuid4().hex
-        number = 1 + max(c["number"] for c in self.commits)
+        segment, number = self.commits.next()
         self._write_docs(self.docs.drop(CELL), segment, number)
         self._write_blocks(segment)
         self._counted(segment).sortWithinPartitions("field", "term").write.parquet(f"{self.path}/words/{SEGMENT}={segment}")
         self._totals(segment).coalesce(1).write.parquet(f"{self.path}/stats/{SEGMENT}={segment}")
         return self._commit(segment, number, self.live, None, False)
 
-    def _commit(self, segment, number, replaces, batch, tombstones) -> SearchIndex:
-        row = [(segment, number, list(replaces), batch, tombstones)]
-        self.spark.createDataFrame(row, _COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
-        commits = self.spark.read.schema(_COMMITS).parquet(f"{self.path}/commits").orderBy("number").collect()
-        return replace(self, commits=tuple(commits))
+    def _commit(self, *commit) -> SearchIndex:
+        return replace(self, commits=self.commits.add(*commit))
 
     def _write(self, rows: DataFrame, table: str, segment: str, *order: str) -> None:
         (
@@ -275,14 +265,11 @@ class SearchIndex:
 
     @property
     def live(self) -> list[str]:
-        """Segments that are committed and not merged into another."""
-        gone = {s for c in self.commits for s in c["replaces"]}
-        return [c["segment"] for c in self.commits if c["segment"] not in gone]
+        return self.commits.live
 
     @property
     def _has_dead(self) -> bool:
-        live = set(self.live)
-        return any(c["tombstones"] for c in self.commits if c["segment"] in live)
+        return self.commits.has_dead
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{name}")

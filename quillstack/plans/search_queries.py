@@ -437,3 +437,8 @@ _GROWN = ("FROM documents)", "FROM documents WHERE doc_id NOT IN (SELECT doc_id
 SQL["search_grown_postings"] = SQL["search_merged_postings"] = SQL["search_postings"].replace(*_GROWN)
 SQL["search_grown_hits"] = SQL["search_normal_any"].replace(*_GROWN)
 SQL["search_best_hits"] = SQL["search_normal_any"]
+
+
+def normal_text_sql() -> str:
+    """G2 over the text alone: the ten best of WORDS."""
+    return _NORMAL + _top()

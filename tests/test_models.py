@@ -87,6 +87,58 @@ def test_similar_both_ways(spark):
     assert similar.similar_documents(queries, corpus, 0).count() == 0
 
 
+def nearest(vectors, queries, k):
+    """All pairs: {query: [(id, score)]}, equal scores in the order of ids."""
+    def unit(v):
+        return np.array(v) / (np.linalg.norm(v) or 1.0)
+
+    out = {}
+    for q, v in queries.items():
+        scores = [(-round(float(unit(v) @ unit(x)), 6) + 0.0, i) for i, x in vectors.items()]
+        out[q] = [(i, -s + 0.0) for s, i in sorted(scores)[:k]]
+    return out
+
+
+def test_similar_index_grows(spark, monkeypatch):
+    """Added, replaced and removed vectors give what an index built whole gives, with ids
+    that are texts, in many blocks and cells."""
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(similar, "CELL_BLOCKS", 1)
+    rng = np.random.default_rng(6)
+    middle = rng.standard_normal((12, 5)) * 4
+
+    def made(ids):
+        return {f"d{i:04d}": [float(x) for x in np.round(middle[i % 12] + rng.standard_normal(5) * 0.3, 3)] for i in ids}
+
+    def frame(vectors):
+        return spark.createDataFrame(list(vectors.items()), "doc_id string, vec array<double>")
+
+    first, second, third = made(range(700)), made(range(600, 900)), made([3, 5, 950])
+    third["d0003"] = [0.0] * 5
+    gone = ["d0010", "d0011", "d0650", "nobody"]
+    index = similar.SimilarIndex.build(frame(first), buckets=3)
+    index = index.add(frame(second), spark.createDataFrame([(g,) for g in gone[:2]], "doc_id string"), batch="b")
+    assert index.add(frame(second), batch="b") is index
+    index = index.add(frame(third)).add(removed=spark.createDataFrame([(g,) for g in gone], "doc_id string"))
+    left = {i: v for i, v in (first | second | third).items() if i not in gone}
+    queries = {i: v for k, (i, v) in enumerate(left.items()) if k % 9 == 0} | {"zero": [0.0] * 5, "odd": [9.0, -9.0, 9.0, -9.0, 9.0]}
+    asked = spark.createDataFrame([*queries.items(), ("none", None)], "query_id string, vec array<double>")
+    want = nearest(left, queries, 7)
+    measured = spark.sparkContext.accumulator(0)
+    for corpus in (index, similar.SimilarIndex.open(spark, index.path), index.merge(), frame(left)):
+        found = {}
+        for r in similar.similar_documents(asked, corpus, 7, measured if corpus is index else None).orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+        assert found == want
+    assert 0 < measured.value < 0.6 * len(queries) * len(left)
+    assert {r["doc_id"] for r in index.ids().collect()} == set(left)
+    index.close()
+    assert similar.similar_documents(asked, similar.SimilarIndex.open(spark, index.path), 2).count() == 2 * len(queries)
+    nothing = similar.SimilarIndex.build(spark.createDataFrame([], "doc_id string, vec array<double>"))
+    assert similar.similar_documents(asked, nothing, 3).count() == 0
+    assert similar.similar_documents(asked, nothing.add(frame(third)), 3).filter("query_id = 'odd'").count() == 3
+
+
 def test_coherence_equals_all_pairs(spark):
     rng = np.random.default_rng(3)
     a, b = rng.random((12, 4)), rng.random((12, 4))
