@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstack.functions.skew import salted_join
+
 # Vocabulary bounds of the classifier and of the topic models.
 CLASSIFIER_BOUNDS = {"min_df": 2, "max_df": 0.9, "max_terms": 30_000}
 TOPIC_BOUNDS = {"min_df": 2, "max_df": 0.95, "max_terms": 1_000}
@@ -69,7 +71,8 @@ def tfidf(
     """(key, term, weight), smooth idf plus one, rows of unit length."""
     tf = 1 + F.ln("tf") if sublinear else F.col("tf").cast("double")
     idf = F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1
-    weighted = counts.join(vocab.select("term", "df"), "term").select(
+    # A frequent term stands in most documents: its rows are spread by document.
+    weighted = salted_join(counts, vocab.select("term", "df"), ["term"], [key]).select(
         key, "term", (tf * idf).alias("weight")
     )
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))

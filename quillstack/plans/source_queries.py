@@ -8,17 +8,17 @@ from pyspark.sql import types as T
 from quillstack.operators import prep
 from quillstack.plans.prep_queries import split_sql
 from quillstack.sources import corpus, files, search_log, tables
-from quillstack.session import new_path, read_table
+from quillstack.session import new_path, read_documents, read_table
 
 PREFIX = "https://m."
 PAGE_SIZE = 20
 
 
 def text_files(spark, folder):
-    """A1: one file per item, written and read back; writing ends each file with a line break."""
+    """A1: one file per document, written and read back; writing ends each file with a line break."""
     path = new_path(spark, "texts")
-    items = read_table(spark, folder, "benchmark")
-    numbered = items.select(F.col("text"), prep.zero_padded(F.col("item_id")).alias("doc"))
+    docs = read_documents(spark, folder)
+    numbered = docs.select(F.col("text"), prep.zero_padded(F.col("doc_id")).alias("doc"))
     numbered.write.partitionBy("doc").text(path)
     return corpus.read_text_files(spark, path, r"/doc=([0-9]+)/", recursive=True)
 
@@ -230,7 +230,7 @@ kept AS (SELECT t.*, n FROM t JOIN k USING (key) WHERE n > 4 OR version_id <> la
 alive AS (SELECT *, n <= 4 AND turn = max(turn) OVER (PARTITION BY key) AS is_latest FROM kept)"""
 
 SQL = {
-    "text_files": "SELECT item_id AS doc_id, text || chr(10) AS text FROM benchmark",
+    "text_files": "SELECT doc_id, text || chr(10) AS text FROM documents",
     "metadata_csv": """SELECT doc_id, lang, source, n_chars, split_part(text, chr(10), 1) AS case_name
   FROM documents""",
     "code_names": "SELECT n_nationkey AS code, n_name AS name FROM nation",

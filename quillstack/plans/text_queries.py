@@ -51,8 +51,9 @@ def _term_counts(spark, folder):
 def _ngrams(spark, folder):
     """D2"""
     words = model_tokens(F.col("text"), lowercase=False)
-    items = read_table(spark, folder, "benchmark").select("item_id", words.alias("words"))
-    return items.select("item_id", F.explode(word_ngrams("words")).alias("gram"))
+    docs = read_documents(spark, folder).select("doc_id", words.alias("words"))
+    grams = docs.select("doc_id", F.explode_outer(word_ngrams("words")).alias("gram"))
+    return grams.filter(F.col("gram").isNotNull())
 
 
 def classifier_grams(spark, folder):
@@ -184,7 +185,7 @@ SQL = {
   substring(text, length(text) // 2 + 1) AS second_half FROM documents""",
     "decode_bytes": _doc(r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')"),
     "tokens": f"WITH {_TOPIC_COUNTS} SELECT doc_id, term, tf FROM counts",
-    "ngrams": f"WITH {_grams('benchmark', 'item_id')} SELECT item_id, term AS gram FROM grams",
+    "ngrams": f"WITH {_grams('documents', 'doc_id')} SELECT doc_id, term AS gram FROM grams",
     "vocabulary": f"WITH {_TOPIC_COUNTS}, {_vocab(features.TOPIC_BOUNDS)} SELECT * FROM vocab",
     "ngram_vocabulary": f"WITH {_GRAM_COUNTS}, {_vocab(features.CLASSIFIER_BOUNDS)} SELECT * FROM vocab",
     "tfidf": f"WITH {_TOPIC_COUNTS}, {_vocab(features.TOPIC_BOUNDS)}" + _weights("tf"),
