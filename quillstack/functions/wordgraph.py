@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DAMPING, ROUNDS = 0.85, 30
-DENSE_SHARE = 2
+ROWS_AT_ONCE = 1_024
 _SCORES = T.ArrayType(T.DoubleType())
 
 
@@ -90,91 +90,88 @@ def page_rank_scores(words: Column, sentences: Column, look_back: int, weighted:
     return _once(scored)(words, sentences)
 
 
-def _truss_dense(weights: np.ndarray) -> np.ndarray:
-    """Largest k of a k-truss holding each node, by peeling a dense graph."""
-    graph = (weights > 0).astype(np.float32)
-    level = np.full(len(graph), 1)
+def _paths(graph: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Number of words that are linked to both, for some rows of kinds and all kinds."""
+    out = np.empty((len(rows), len(graph)), np.float32)
+    for start in range(0, len(rows), ROWS_AT_ONCE):
+        some = graph[rows[start:start + ROWS_AT_ONCE]] * sizes
+        out[start:start + ROWS_AT_ONCE] = some @ graph
+    return out
+
+
+def _truss(graph: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Largest k of a k-truss that holds a word of each kind.
+
+    ``graph`` links kinds of words, ``sizes`` counts their words; the words of a kind
+    have the same links, so links between two kinds are peeled together. Only the rows
+    that lost a link are multiplied again."""
+    graph = graph.astype(np.float32)
+    sizes = sizes.astype(np.float32)
+    level = np.ones(len(graph), np.int64)
+    inside = np.diag(graph).copy()
+    paths = _paths(graph, np.arange(len(graph)), sizes)
     k = 2
     while graph.any():
-        level[graph.any(axis=1)] = k
-        support = (graph @ graph)[graph > 0]
-        k = max(k + 1, int(support.min()) + 2)
-        level[graph.any(axis=1)] = np.maximum(level[graph.any(axis=1)], k - 1)
-        while graph.any():
-            weak = (graph > 0) & (graph @ graph < k - 2)
-            if not weak.any():
-                break
-            graph[weak] = 0
+        # A word is no third to its own link.
+        support = np.where(graph > 0, paths - inside[:, None] - inside[None, :], np.inf)
+        k = max(k, int(support.min()) + 2)
+        weak = support <= k - 2
+        touched = np.flatnonzero(weak.any(axis=1))
+        level[touched] = k
+        lost = np.where(weak[touched], graph[touched], 0)
+        # What the lost links took part in: on one side, on the other, and on both.
+        one = np.empty((len(touched), len(graph)), np.float32)
+        for start in range(0, len(touched), ROWS_AT_ONCE):
+            one[start:start + ROWS_AT_ONCE] = (lost[start:start + ROWS_AT_ONCE] * sizes) @ graph
+        both = (lost * sizes) @ lost.T
+        paths[touched] -= one
+        paths[:, touched] -= one.T
+        paths[np.ix_(touched, touched)] += both
+        graph[weak] = 0
+        inside = np.diag(graph).copy()
     return level
 
 
-def _triangles(u: np.ndarray, v: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
-    """Triples of edge numbers; edges run from the smaller node and are sorted."""
-    after = np.searchsorted(u, u, side="right") - np.arange(len(u)) - 1
-    first = np.repeat(np.arange(len(u)), after)
-    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(after) - after, after)
-    closing = v[first] * n + v[second]
-    place = np.minimum(np.searchsorted(keys, closing), len(keys) - 1)
-    closed = keys[place] == closing
-    return np.stack([first[closed], second[closed], place[closed]], axis=1)
-
-
-def _truss_sparse(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The same by removing the edges with the fewest triangles first."""
-    one_way = u < v
-    keys = np.sort(u[one_way] * n + v[one_way])
-    u, v = keys // n, keys % n
-    triangles = _triangles(u, v, keys, n)
-    flat = triangles.ravel()
-    of_edge = np.argsort(flat, kind="stable") // 3
-    support = np.bincount(flat, minlength=len(u))
-    first = np.cumsum(support) - support
-    size = support.copy()
-    open_ = np.ones(len(triangles), dtype=bool)
-    truss, alive, k = np.zeros(len(u), dtype=int), np.ones(len(u), dtype=bool), 2
-    while alive.any():
-        k = max(k, int(support[alive].min()) + 2)
-        weak = np.flatnonzero(alive & (support <= k - 2))
-        truss[weak], alive[weak] = k, False
-        counts = size[weak]
-        inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        lost = of_edge[np.repeat(first[weak], counts) + inner]
-        lost = np.unique(lost[open_[lost]])
-        open_[lost] = False
-        support -= np.bincount(triangles[lost].ravel(), minlength=len(u))
-    level = np.ones(n, dtype=int)
-    np.maximum.at(level, u, truss)
-    np.maximum.at(level, v, truss)
-    return level
+def _kinds(sentence: np.ndarray, node: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(kind of each node, kinds in each window, words of each kind). A window is two
+    neighbouring sentences; words of one kind stand in the same windows."""
+    last = max(int(sentence.max()), 1)
+    present = np.stack([sentence, node], axis=1)
+    windows = np.unique(np.concatenate([present, present - [1, 0]]), axis=0)
+    windows = windows[(windows[:, 0] >= 0) & (windows[:, 0] < last)]
+    order = np.lexsort((windows[:, 0], windows[:, 1]))
+    owner, window = windows[order, 1], windows[order, 0]
+    ends = np.flatnonzero(np.append(np.diff(owner), 1)) + 1
+    seen: dict[bytes, int] = {}
+    kind = np.zeros(n, np.int64)
+    for start, end in zip(np.concatenate([[0], ends[:-1]]), ends):
+        kind[owner[start]] = seen.setdefault(window[start:end].tobytes(), len(seen))
+    held = [np.frombuffer(key, window.dtype) for key in seen]
+    flat = np.concatenate(held)
+    of = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    order = np.argsort(flat, kind="stable")
+    members = np.split(of[order], np.flatnonzero(np.diff(flat[order])) + 1)
+    return kind, members, np.bincount(kind, minlength=len(held))
 
 
 def _connectivity(sentence: np.ndarray, node: np.ndarray, n: int) -> np.ndarray:
     """Semantic strength times connectivity of the candidates of one document.
 
-    Words of two neighbouring sentences form a window, and words of a window are
-    linked. Closely linked words use a dense table, others an edge list.
+    Words of a window are linked, by as many windows as they share. Words that occur in
+    the same windows are one kind: the table of links is as wide as there are kinds, of
+    which a stretch of text without repeated words has one a sentence.
     """
-    last = max(int(sentence.max()), 1)
-    present = np.stack([sentence, node], axis=1)
-    windows = np.unique(np.concatenate([present, present - [1, 0]]), axis=0)
-    windows = windows[(windows[:, 0] >= 0) & (windows[:, 0] < last)]
-    members = np.split(windows[:, 1], np.flatnonzero(np.diff(windows[:, 0])) + 1)
-    if sum(len(m) ** 2 for m in members) * DENSE_SHARE > n * n:
-        shared = np.zeros((n, n))
-        for m in members:
-            shared[np.ix_(m, m)] += 1
-        np.fill_diagonal(shared, 0)
-        u, v = np.nonzero(shared)
-        weight, level = shared[u, v], _truss_dense(shared)
-    else:
-        u = np.concatenate([np.repeat(m, len(m)) for m in members])
-        v = np.concatenate([np.tile(m, len(m)) for m in members])
-        keys, weight = np.unique((u * n + v)[u != v], return_counts=True)
-        u, v = keys // n, keys % n
-        level = _truss_sparse(n, u, v)
-    strength = np.bincount(u, weight * level[v], minlength=n)
-    kinds = np.bincount(np.unique(u * (n + 1) + level[v]) // (n + 1), minlength=n)
-    return strength * kinds / level.max()
+    kind, members, sizes = _kinds(sentence, node, n)
+    graph = np.zeros((len(sizes), len(sizes)), bool)
+    for m in members:
+        graph[np.ix_(m, m)] = True
+    graph[np.diag_indices(len(sizes))] = sizes > 1
+    level = _truss(graph, sizes)
+    strength = np.zeros(len(sizes))
+    for m in members:
+        strength[m] += (sizes[m] * level[m]).sum() - level[m]
+    kinds = sum((graph[:, level == k].any(axis=1).astype(np.int64) for k in np.unique(level)), np.zeros(len(sizes), np.int64))
+    return (strength * kinds / level.max())[kind]
 
 
 def scake_scores(words: Column, sentences: Column) -> Column:

@@ -1,3 +1,5 @@
+import resource
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -155,19 +157,54 @@ def test_top_topics(spark):
     assert rows == [[(1, 0.5), (2, 0.3), (0, 0.2)], [(0, 0.0), (1, 0.0)]]
 
 
+def peeled(graph):
+    """Largest k of a k-truss that holds each node, of a plain table of links."""
+    level, left, k = np.ones(len(graph), int), (graph > 0).astype(int), 2
+    while left.any():
+        level[left.any(1)] = k
+        k += 1
+        while ((left > 0) & (left @ left < k - 2)).any():
+            left[(left > 0) & (left @ left < k - 2)] = 0
+    return level
+
+
 def test_truss_levels():
     rng = np.random.default_rng(0)
     for _ in range(60):
         n = int(rng.integers(2, 12))
         graph = np.triu(rng.random((n, n)) < rng.random(), 1)
-        graph = (graph | graph.T).astype(float)
-        level, left, k = np.ones(n, int), (graph > 0).astype(int), 2
-        while left.any():
-            level[left.any(1)] = k
-            k += 1
-            while ((left > 0) & (left @ left < k - 2)).any():
-                left[(left > 0) & (left @ left < k - 2)] = 0
-        assert (wordgraph._truss_dense(graph) == level).all()
-        u, v = np.nonzero(graph)
-        if len(u):
-            assert (wordgraph._truss_sparse(n, u, v) == level).all()
+        graph = graph | graph.T
+        assert (wordgraph._truss(graph, np.ones(n, int)) == peeled(graph)).all()
+        # Kinds of several words, linked among themselves.
+        sizes = rng.integers(1, 5, n)
+        graph[np.diag_indices(n)] = sizes > 1
+        of = np.repeat(np.arange(n), sizes)
+        words = graph[np.ix_(of, of)].astype(int)
+        np.fill_diagonal(words, 0)
+        assert (wordgraph._truss(graph, sizes)[of] == peeled(words)).all()
+
+
+def test_connectivity_of_words(monkeypatch):
+    """Strength and connectivity over all pairs of words, against the tables of kinds."""
+    monkeypatch.setattr(wordgraph, "ROWS_AT_ONCE", 3)
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        sentence = np.sort(rng.integers(0, rng.integers(1, 9), rng.integers(1, 60)))
+        _, node = np.unique(rng.integers(0, rng.integers(1, 40), len(sentence)), return_inverse=True)
+        n = node.max() + 1
+        shared = np.zeros((n, n), int)
+        for w in range(max(int(sentence.max()), 1)):
+            inside = np.unique(node[(sentence == w) | (sentence == w + 1)])
+            shared[np.ix_(inside, inside)] += 1
+        np.fill_diagonal(shared, 0)
+        level = peeled(shared)
+        kinds = np.array([len(set(level[shared[i] > 0])) for i in range(n)])
+        want = (shared * level).sum(axis=1) * kinds / level.max()
+        assert np.allclose(wordgraph._connectivity(sentence, node, n), want)
+
+
+def test_connectivity_of_one_long_sentence():
+    begin = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = wordgraph._connectivity(np.zeros(30_000, int), np.arange(30_000), 30_000)
+    assert (found == 29_999 * 30_000 / 30_000).all()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - begin < 500_000  # KB
