@@ -110,14 +110,22 @@ def _truss(graph: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     level = np.ones(len(graph), np.int64)
     inside = np.diag(graph).copy()
     paths = _paths(graph, np.arange(len(graph)), sizes)
+    here = np.arange(len(graph))  # the kinds that the tables still hold
     k = 2
-    while graph.any():
+    while True:
+        linked = graph.any(axis=1)
+        if not linked.any():
+            return level
+        if linked.sum() < 0.9 * len(linked):
+            kept = np.ix_(linked, linked)
+            graph, paths, sizes, here = graph[kept], paths[kept], sizes[linked], here[linked]
+            inside = np.diag(graph).copy()
         # A word is no third to its own link.
         support = np.where(graph > 0, paths - inside[:, None] - inside[None, :], np.inf)
         k = max(k, int(support.min()) + 2)
         weak = support <= k - 2
         touched = np.flatnonzero(weak.any(axis=1))
-        level[touched] = k
+        level[here[touched]] = k
         lost = np.where(weak[touched], graph[touched], 0)
         # What the lost links took part in: on one side, on the other, and on both.
         one = np.empty((len(touched), len(graph)), np.float32)
@@ -129,7 +137,6 @@ def _truss(graph: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         paths[np.ix_(touched, touched)] += both
         graph[weak] = 0
         inside = np.diag(graph).copy()
-    return level
 
 
 def _kinds(sentence: np.ndarray, node: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
