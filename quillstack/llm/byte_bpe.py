@@ -136,24 +136,34 @@ def _token_bytes(rank_file: bytes) -> list[bytes]:
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
+           text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``(id, n_tokens, ids)`` of every whole text, ``ids`` as little-endian unsigned
-    32-bit integers. Null and empty texts have no ids. Repeated rows stay repeated,
+    32-bit integers, with ``decoded`` also their bytes as by ``decode``, found in the
+    same pass. Null and empty texts have no ids. Repeated rows stay repeated,
     an empty table gives an empty result, other columns are not looked at."""
     shared = shared_bytes(docs.sparkSession, rank_path)
 
     def run(batches):
         encoder = _encoder(shared.value, pattern)
-        for part in rows(batches, "t"):
-            ids = encoder.encode(part.column("t").to_pylist())
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("i"), counts, pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"]
-            )
+        table = _token_bytes(shared.value) if decoded else None
+        try:
+            for part in rows(batches, "t"):
+                ids = encoder.encode(part.column("t").to_pylist())
+                counts = pa.array([len(x) // 4 for x in ids], pa.int64())
+                found = [part.column("i"), counts, pa.array(ids, pa.binary())]
+                if decoded:
+                    found.append(pa.array([joined(x, table) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(found, [id_col, "n_tokens", "ids", "decoded"][:len(found)])
+        finally:
+            encoder.cache.clear()  # the worker outlives the task
 
     picked = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"))
     kind = picked.schema["i"].dataType.simpleString()
-    return picked.mapInArrow(run, f"`{id_col}` {kind}, {ENCODED}")
+    return picked.mapInArrow(run, f"`{id_col}` {kind}, {ENCODED}" + (", decoded binary" if decoded else ""))
+
+
+def joined(ids: bytes | None, table: list[bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
 def decode(encoded: DataFrame, rank_path: str, id_col: str = "doc_id",
@@ -165,10 +175,7 @@ def decode(encoded: DataFrame, rank_path: str, id_col: str = "doc_id",
     def run(batches):
         table = _token_bytes(shared.value)
         for part in rows(batches, ids_col):
-            texts = [
-                b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist()))
-                for x in part.column(ids_col).to_pylist()
-            ]
+            texts = [joined(x, table) for x in part.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"]
             )

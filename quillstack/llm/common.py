@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 from collections.abc import Iterable, Iterator
@@ -18,16 +20,26 @@ SLICE_BYTES = 2 << 20
 def rows(batches: Iterable[pa.RecordBatch], text: str = "text",
          limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of about ``limit`` bytes of text, one row at least,
-    so that what a function holds at once does not follow the batch size."""
-    for batch in batches:
-        lengths = pc.binary_length(batch.column(text)).fill_null(0)
-        ends = np.cumsum(np.asarray(lengths, dtype=np.int64))
-        start = 0
-        while start < len(ends):
-            done = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+    so that what a function holds at once does not follow the batch size. At the end
+    memory that is free goes back to the machine, as Python workers outlive their tasks."""
+    try:
+        for batch in batches:
+            lengths = pc.binary_length(batch.column(text)).fill_null(0)
+            ends = np.cumsum(np.asarray(lengths, dtype=np.int64))
+            start = 0
+            while start < len(ends):
+                done = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
+                yield batch.slice(start, stop - start)
+                start = stop
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without this call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_bytes(spark: SparkSession, path: str):

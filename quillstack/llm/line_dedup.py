@@ -124,7 +124,8 @@ def dedupe_lines(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col
     is no such passage, is not changed; a text that repeats others throughout becomes empty or keeps only
     its blank lines. Rows that agree in id and text are treated alike."""
     starts = materialise(repeated_runs(docs, id_col, text_col, run, passage_words), "line-deletions")
-    others = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    others = [c for c in columns if c != text_col]
     left = docs.select(F.struct(*others).alias("row"),
                        F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("key"),
                        F.col(text_col).alias("text"))
@@ -142,5 +143,5 @@ def dedupe_lines(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col
 
     kind = left.schema["row"].dataType.simpleString()
     done = joined.select("row", "text", "starts").mapInArrow(cut, f"row {kind}, text string, n_lines long, n_deleted long")
-    return done.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in others),
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in columns),
                        "n_lines", "n_deleted")

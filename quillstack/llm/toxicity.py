@@ -35,7 +35,7 @@ DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7":
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 NEAR = 5
 BEGINNINGS = (4, 5, 6)
-CACHE_LIMIT = 400_000
+CACHE_LIMIT = 150_000
 CACHE_LENGTH = 64
 FEATURES = ("hit_rate", "log_hits", "weight", "strongest", "distinct_hits", "near_you", "you_rate",
             "caps_words", "capitals", "punctuation", "exclamations", "disguised", "disguised_hits",
