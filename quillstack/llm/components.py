@@ -12,7 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every end of the links ``(a, b)``: the smallest node
     that can be reached. Each round takes the smallest label among the neighbours and
     then the label of that label, so labels travel ever further. A node of very many
-    links is only ever aggregated, and its join can be split."""
+    links is only ever aggregated, and its join can be split. Links with a null end or
+    from a node to itself say nothing; without links the result is empty."""
     both = links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct()
     edges = materialise(both.toDF("node", "next"), "links")
     labels = materialise(

@@ -256,7 +256,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     (ASCII letters in lower case) is ``percent`` or more; equal sets always do. The
     component is the smallest id that links lead to. A null, empty or wordless text has
     no shingle and its own id. Rows of one id are judged each by its own text. Rows
-    without an id get the component of the equal and similar texts, null if none.
+    without an id get the component of an equal text that has one, null if there is none:
+    they link nothing. Give rows a key of their own where ids are missing.
     Twice ``hot`` bounds the table of frequent shingles that every task gets."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -8,9 +8,10 @@ are anchors at all.
 1. Anchors are counted; those found once cannot lie in a recurring window.
 2. The recurring anchors of a document are sent to it. For each slice of documents
    their phrases are compiled into an Aho-Corasick automaton over the words themselves
-   (pyahocorasick) and the documents are streamed through it: every occurrence is
-   located and so confirmed by its words. Around an occurrence lies its passage, the
-   union of the windows that have this anchor.
+   (pyahocorasick) and the documents of the slice are streamed through it. As the phrases
+   are those at the slice's own anchors, it finds these places again; what recurs is
+   decided by the hashes of anchors before and of passages after. Around an occurrence
+   lies its passage, the union of the windows that have this anchor.
 3. Of equal passages all but the first are removed whole. Only where one anchor has
    different passages are the windows of the first of each compared one by one.
 

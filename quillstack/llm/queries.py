@@ -26,7 +26,7 @@ def op1_language_bitmask(spark, folder):
     held = hold_out(F.col("doc_id"), 3) == 1
     filters = language.train(docs.filter(~F.coalesce(held, F.lit(False))))
     found = language.predict(docs, filters)
-    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def mixing_stage(spark, docs, folder):
@@ -70,17 +70,18 @@ def toxicity_stage(spark, docs, folder):
 def op4_toxicity(spark, folder):
     docs = read_table(spark, folder, "documents")
     return _toxicity_model(spark, folder).score(docs).select(
-        "doc_id", (hold_out(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+        "doc_id", F.coalesce(hold_out(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def encode_stage(spark, docs, folder):
-    """Ids of the whole texts, decoded again, as digests."""
+    """Ids of the whole texts, decoded again, as digests. Null and empty texts have no
+    ids; null and repeated ids and repeated rows stay; an empty table stays empty."""
     import public_tokenizers
 
     from quillstack.llm import byte_bpe
 
-    encoded = byte_bpe.encode(docs, _tokenizer(RANKS), public_tokenizers.PATTERN)
-    return byte_bpe.decode(encoded, _tokenizer(RANKS)).select(
+    encoded = byte_bpe.encode(docs, _tokenizer(RANKS), public_tokenizers.PATTERN, decoded=True)
+    return encoded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -52,3 +52,62 @@ def test_odd_rows(spark):
     empty = language.train(docs.limit(0))
     assert {r.lang_pred for r in language.predict(docs, empty).collect()} == {"und"}
     assert language.predict(docs.limit(0), empty).count() == 0
+
+
+def by_characters(text, profiles, bits_per_gram=16, hashes=3):
+    """Prediction of one text with a set of bit positions per language, a gram at a time."""
+    wide = 2**64 - 1
+
+    def mixed(x):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ x >> 33) * factor) & wide
+        return x ^ x >> 33
+
+    size = 1
+    while size < max(map(len, profiles.values())) * bits_per_gram:
+        size *= 2
+
+    def places(key):
+        return [(key + k * (key >> 32 | 1)) & wide & (size - 1) for k in range(hashes)]
+
+    line = " "
+    for ch in (text or "").lower() + " ":
+        ch = ch if ch.isalpha() else " "
+        line += "" if ch == " " and line[-1] == " " else ch
+    keys = []
+    for n in (1, 3, 4):
+        for s in range(len(line) - n + 1):
+            if n > 1 or line[s] != " ":
+                key = n
+                for ch in line[s:s + n]:
+                    key = (key * 0x1FFFFF + ord(ch)) & wide
+                keys.append(mixed(key))
+    counts = {}
+    for name, profile in profiles.items():
+        bits = {p for key in profile for p in places(key)}
+        rate = (len(bits) / size) ** hashes
+        counts[name] = (sum(all(p in bits for p in places(k)) for k in keys) - len(keys) * rate) / (1 - rate)
+    if not keys:
+        return "und", 0.0
+    best = max(sorted(counts), key=counts.__getitem__)
+    mass = sum(max(c, 0.0) for c in counts.values())
+    return best, max(counts[best], 0.0) / mass if mass > 0 else 0.0
+
+
+def test_predictions_by_characters(spark, monkeypatch):
+    """The whole query on a whole table, with the learned profiles in plain sets."""
+    seen = {}
+    plain = language.Filters.build.__func__
+
+    def build(cls, languages, profiles, *args, **named):
+        seen.update(zip(languages, [[int(k) for k in p] for p in profiles]))
+        return plain(cls, languages, profiles, *args, **named)
+
+    monkeypatch.setattr(language.Filters, "build", classmethod(build))
+    folder = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in QUERIES["op1_language_bitmask"](spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    assert len(got) == len(docs) > 100 and len(seen) > 2
+    for r in docs:
+        name, score = by_characters(r.text, seen)
+        assert got[r.doc_id].lang_pred == name and abs(got[r.doc_id].score - score) < 1e-9, r.doc_id
