@@ -37,6 +37,9 @@ def difference(spark_frame, sql_frame) -> str | None:
     if sorted(spark_frame.columns) != sorted(sql_frame.columns):
         return f"columns {sorted(spark_frame.columns)} vs {sorted(sql_frame.columns)}"
     for c in spark_frame.columns:
+        if str(sql_frame[c].dtype) == "Int64" and spark_frame[c].dtype == "float64":
+            # Integers with nulls: Spark's frames hold them as floats.
+            sql_frame = sql_frame.astype({c: "float64"})
         if spark_frame[c].dtype != sql_frame[c].dtype:
             return f"type of {c}: {spark_frame[c].dtype} vs {sql_frame[c].dtype}"
     left, right = rows_of(spark_frame), rows_of(sql_frame)
