@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,13 @@ from quillstack.session import materialise
 DIMENSIONS = ("source", "lang", "topic")
 
 
+def counted(texts: list[list[bytes]], hashes: WordHashes, width: int) -> np.ndarray:
+    """Words of each text by their hash, for all texts at once."""
+    flat = (hashes.of(list(chain.from_iterable(texts))) % np.uint64(width)).view(np.int64)
+    owner = np.repeat(np.arange(len(texts)) * width, [len(words) for words in texts])
+    return np.bincount(owner + flat, minlength=len(texts) * width).reshape(len(texts), width)
+
+
 @dataclass
 class Topics:
     """Centres of hashed word counts, after the mean of each language is taken off, so
@@ -35,11 +43,7 @@ class Topics:
     centres: np.ndarray
 
     def vectors(self, texts: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
-        out = np.zeros((len(texts), self.width))
-        for k, words in enumerate(texts):
-            if words:
-                counts = np.bincount((hashes.of(words) % np.uint64(self.width)).astype(np.int64), minlength=self.width)
-                out[k] = np.sqrt(counts)
+        out = np.sqrt(counted(texts, hashes, self.width))
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
     def assign(self, vectors: np.ndarray, langs: list) -> np.ndarray:
@@ -90,12 +94,12 @@ def word_counts(docs: DataFrame, lang: str, source: str | None = None, width: in
         for part in rows(batches):
             texts = byte_words(part)
             at = [k for k, words in enumerate(texts) if words]
-            counts = [np.bincount((hashes.of(texts[k]) % np.uint64(width)).astype(np.int64), minlength=width) for k in at]
+            counts = counted(texts, hashes, width).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [part.column("of").take(pa.array(at, pa.int64())),
                  pa.array([xxhash.xxh3_64_intdigest(b" ".join(texts[k])) >> 1 for k in at], pa.int64()),
                  pa.array([len(texts[k]) for k in at], pa.int64()),
-                 pa.array([c.astype(np.int32).tobytes() for c in counts], pa.binary())], ["of", "h", "tokens", "counts"])
+                 pa.array([counts[k].tobytes() for k in at], pa.binary())], ["of", "h", "tokens", "counts"])
 
     own = F.col(source) if source else F.lit(0)
     packed = docs.select(F.struct(own.alias("source"), F.col(lang).alias("lang")).alias("of"), "text")
