@@ -1,9 +1,11 @@
 import random
+import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstack.operators import search
+from quillstack.operators import search, search_index
 from quillstack.operators.search_index import CELL, SearchIndex
 
 SCHEMA = "doc_id long, title string, text string, source string"
@@ -135,3 +137,40 @@ def test_columns_of_documents_stay(spark):
     row = found.hits.first()
     assert row["doc_id"] == "x" and row["segment"] == 1.5 and row["terms"] == ["a"]
     assert index.docs.filter(F.col("segment") > 1).count() == 1
+
+
+def test_postings_are_gathered_without_steps_for_each_word():
+    """25 texts of 400 words in two cells: the same blocks whatever is held at a time, and far
+    fewer calls than words."""
+    rng = random.Random(2)
+    texts = [[f"w{rng.randint(0, 30)}" for _ in range(400)] for _ in range(25)]
+    cells = [0] * 12 + [7] * 13
+    columns = [pa.array(cells), pa.array([f"d{i}" for i in range(25)]), pa.array(["text", "title"] * 12 + ["text"]),
+               pa.array(texts, pa.list_(pa.string()))]
+    batch = pa.RecordBatch.from_arrays(columns, [CELL, "doc_id", "field", "terms"])
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        made_blocks = list(search_index._gather([batch.slice(0, 5), batch.slice(5)]))
+    finally:
+        sys.setprofile(None)
+    blocks = [row for b in made_blocks for row in b.to_pylist()]
+    assert calls < 10_000 / 4
+    wanted = {}
+    for cell, doc, field, words in zip(*(c.to_pylist() for c in columns)):
+        for word in dict.fromkeys(words):
+            at = [i for i, w in enumerate(words) if w == word]
+            wanted.setdefault((cell, field, word), []).append((doc, len(at), len(words), at))
+    got = {}
+    for b in blocks:
+        entries = [(e["doc_id"], e["tf"], e["len"], p) for e, p in zip(b["entries"], b["positions"])]
+        got[b[CELL], b["field"], b["term"]] = entries
+        assert b["n"] == len(entries) and b["n_tokens"] == sum(e[1] for e in entries)
+        assert b["n_first"] == sum(e[3][0] == 0 for e in entries)
+        assert (b["max_tf"], b["min_len"]) == (max(e[1] for e in entries), 400)
+    assert got == wanted and len(blocks) == len(got)
