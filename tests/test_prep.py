@@ -102,3 +102,22 @@ def test_vector_weights_equal_relational(spark):
         for i, v in zip(r["w"].indices.tolist(), r["w"].values.tolist())
     }
     assert got == pytest.approx(expected)
+
+
+def test_words_of_a_document_are_not_shuffled_for_its_weights(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a", "c"]), (1, ["b"]), (None, ["c", "b"])], "doc_id long, t array<string>")
+    vocab = spark.createDataFrame([("a", 2, 3), ("b", 2, 3)], "term string, df long, total long")
+    together = features.by_key(docs, "doc_id")
+    counts = features.term_counts(together, "doc_id", F.col("t"), vocab)
+    weights = features.tfidf(counts, vocab, 3, "doc_id")
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, counts.collect()), key=str) == [(1, "a", 2), (1, "b", 2), (2, "a", 1), (None, "b", 1)]
+    plain = features.tfidf(features.term_counts(docs, "doc_id", F.col("t")), vocab, 3, "doc_id")
+    assert sorted(map(str, weights.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_words_are_sorted_without_a_function_for_each_comparison(spark):
+    docs = spark.createDataFrame([(1, ["b", "a", "b"])], "doc_id long, t array<string>")
+    plan = features.term_totals(docs, F.col("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
