@@ -208,3 +208,12 @@ def test_connectivity_of_one_long_sentence():
     found = wordgraph._connectivity(np.zeros(30_000, int), np.arange(30_000), 30_000)
     assert (found == 29_999 * 30_000 / 30_000).all()
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - begin < 500_000  # KB
+
+
+def test_similar_index_has_a_bucket_for_each_block(spark, monkeypatch):
+    """Queries are sent to cells, so the cells of a task must stay few while the corpus grows."""
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 4)
+    rows = [(i, [float(i % 7), 1.0, float(i % 5)]) for i in range(200)]
+    index = similar.SimilarIndex.build(spark.createDataFrame(rows, "doc_id long, vec array<double>"))
+    assert index.buckets == 50
+    index.close()
