@@ -88,3 +88,15 @@ def test_tokens_and_ngrams(spark):
 def test_long_runs_do_not_overflow(spark):
     df = spark.createDataFrame([("a." * 30_000,)], "t string")
     assert df.select(F.size(search_tokens(F.col("t")))).first()[0] == 1
+
+
+def test_cleaning_is_one_pass(spark):
+    df = spark.createDataFrame([("Höhe",)], "t string")
+    plan = df.select(tx.clean_text(F.col("t")), tx.clean_tokens(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "lambdafunction" not in plan
+
+
+def test_tokens_without_stems(spark):
+    df = spark.createDataFrame([("The naïve cats<br> r4unning\x1cＸＹＺ",), (None,), ("<>",)], "t string")
+    rows = df.select(tx.clean_tokens(F.col("t"), stem=False), tx.clean_text(F.col("t"), stem=False)).collect()
+    assert [tuple(r) for r in rows] == [(["naive", "cats", "running", "xyz"], "naive cats running xyz"), (None, None), ([], "")]
