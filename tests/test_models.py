@@ -1,6 +1,7 @@
 import resource
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,20 @@ def test_similar_index_has_a_bucket_for_each_block(spark, monkeypatch):
     index = similar.SimilarIndex.build(spark.createDataFrame(rows, "doc_id long, vec array<double>"))
     assert index.buckets == 50
     index.close()
+
+
+def test_nmf_in_small_blocks(spark):
+    """A round in blocks of at most 2 MB gives the sums and the objective of the whole."""
+    rng = np.random.default_rng(4)
+    v, h = rng.random((600, 1_000)), rng.random((5, 1_000))
+    rows = [(list(range(1_000)), x.tolist()) for x in v]
+    batch = pa.table({"indices": [r[0] for r in rows], "values": [r[1] for r in rows]}).to_batches()[0]
+    blocks = list(nmf._chunks(batch, 1_000))
+    assert max(b.nbytes for b in blocks) <= 2 << 20 and np.array_equal(np.concatenate(blocks), v)
+    w = np.full((600, 5), 0.2)
+    for _ in range(nmf.ROW_STEPS):
+        w *= v @ h.T / (w @ h @ h.T + 0.05 + 0.05 * w + nmf.EPS)
+    df = spark.createDataFrame(rows, "indices array<int>, values array<double>")
+    wv, ww, loss = nmf._round(df, h)
+    assert wv == pytest.approx(w.T @ v) and ww == pytest.approx(w.T @ w)
+    assert loss == pytest.approx(0.5 * ((v - w @ h) ** 2).sum() + nmf._penalty(w))
