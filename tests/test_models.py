@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack.functions import wordgraph
-from quillstack.operators import classify, nmf, similar, topics
+from quillstack.operators import classify, lda, nmf, similar, topics
 from quillstack.session import new_path
 
 THEMES = ("court law judge appeal", "river water fish boat", "music song dance drum")
@@ -65,6 +65,42 @@ def test_nmf_objective_falls(spark):
     assert all(b <= a + 1e-6 for a, b in zip(history, history[1:]))
 
 
+def test_lda_rows_reach_the_fixed_point_in_few_updates():
+    rng = np.random.default_rng(4)
+    k, width, n = 5, 40, 700
+    model = lda.expected(rng.gamma(1.0, 1.0, (k, width)) + 0.05)
+    counts = rng.poisson(0.4, (n, width)) * 3.0
+    counts[7] = 0
+    cells = [np.flatnonzero(row) for row in counts]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([c.tolist() for c in cells], pa.list_(pa.int32())),
+         pa.array([r[c].tolist() for r, c in zip(counts, cells)], pa.list_(pa.float64()))], ["indices", "values"])
+    solved, sums = lda.solve_rows(batch, model, 0.2)
+    share = lda.expected(solved)
+    ratio = counts / (share @ model + 1e-300)
+    again = share * (ratio @ model.T) + 0.2
+    assert np.abs(again - solved).mean(axis=1).max() < 2 * lda.TOLERANCE
+    assert np.allclose(solved.sum(axis=1), counts.sum(axis=1) + k * 0.2)
+    assert np.allclose(sums.sum(axis=0), counts.sum(axis=0))
+    alone, _ = lda.solve_rows(batch.slice(600, 20), model, 0.2)
+    assert np.allclose(alone, solved[600:620], atol=1e-9)
+
+
+def test_lda_finds_planted_topics(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(120):
+        words = np.arange(6) + 6 * (i % 3)
+        rows.append((words.tolist(), (1.0 + rng.poisson(2, 6)).tolist()))
+    rows.append(([], []))
+    df = spark.createDataFrame(rows, "indices array<int>, values array<double>")
+    model = lda.fit_lda(df, 18, 3, 40, 0.5, 10.0, 0.7, 0)
+    best = {frozenset(np.argsort(-w)[:6].tolist()) for w in model.weights}
+    assert best == {frozenset(range(a, a + 6)) for a in (0, 6, 12)}
+    mixes = [r["m"] for r in df.select(model.mix(F.col("indices"), F.col("values")).alias("m")).collect()]
+    assert sorted(round(sum(m), 6) for m in mixes) == [0.0] + [1.0] * 120
+
+
 def test_unknown_topic_model(docs):
     with pytest.raises(ValueError):
         topics.train_topics(docs, "pca")
