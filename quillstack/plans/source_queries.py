@@ -18,9 +18,9 @@ def text_files(spark, folder):
     """A1: one file per document, written and read back; writing ends each file with a line break."""
     path = new_path(spark, "texts")
     docs = read_documents(spark, folder)
-    numbered = docs.select(F.col("text"), prep.zero_padded(F.col("doc_id")).alias("doc"))
-    numbered.write.partitionBy("doc").text(path)
-    return corpus.read_text_files(spark, path, r"/doc=([0-9]+)/", recursive=True)
+    name = F.concat(F.lit("doc="), F.coalesce(prep.zero_padded(F.col("doc_id")), F.lit("none")))
+    corpus.write_text_files(docs.select("text", name.alias("name")), path)
+    return corpus.read_text_files(spark, path, r"/doc=([0-9]+)-", recursive=True)
 
 
 def metadata_csv(spark, folder):

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +47,37 @@ CORPUS_SCHEMA = T.StructType(
 )
 
 
+#: Files of one folder; a folder for each file would be listed and committed one by one.
+FOLDER_FILES = 1_000
+
+
+def write_text_files(docs: DataFrame, path: str) -> None:
+    """A1: (name, text) as files ``<name>-<task>.txt`` below ``path``. Every text is ended by
+    a line break, a null one is that alone; texts of one name in a task share a file. Each
+    task writes its own files, and a task that is repeated writes the same ones again."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        task, n, name, out = TaskContext.get().partitionId(), 0, None, None
+        for batch in batches:
+            for own, text in zip(batch.column("name").to_pylist(), batch.column("text")):
+                if out is None or own != name:
+                    if out is not None:
+                        out.close()
+                    folder = f"{root}/{task:05d}-{n // FOLDER_FILES:05d}"
+                    if n % FOLDER_FILES == 0:
+                        store.create_dir(folder)
+                    name, out, n = own, store.open_output_stream(f"{folder}/{own}-{task:05d}.txt", compression=None), n + 1
+                if text.is_valid:
+                    out.write(text.as_buffer())
+                out.write(b"\n")
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    written = docs.select("name", "text").sortWithinPartitions("name").mapInArrow(write, "n long")
+    written.agg(F.sum("n")).collect()
+
+
 def read_text_files(
     spark: SparkSession, folder: str, number: str = r"([0-9]+)\.txt$", recursive: bool = False
 ) -> DataFrame:
