@@ -1,4 +1,5 @@
 import resource
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -225,6 +226,25 @@ def test_truss_levels():
         assert (wordgraph._truss(graph, sizes)[of] == peeled(words)).all()
 
 
+def test_truss_of_many_rounds(monkeypatch):
+    """A tube of triangles goes ring after ring from its two ends, and a round must not look
+    at the whole table of links."""
+    def tube(rings):
+        ring, side = np.divmod(np.arange(4 * rings), 4)
+        down = ring[None, :] - ring[:, None]
+        turn = (side[None, :] - side[:, None]) % 4
+        graph = ((down == 0) & (turn == 1)) | ((down == 1) & (turn <= 1))
+        return graph | graph.T
+
+    graph = tube(600)
+    begin = time.process_time()
+    assert (wordgraph._truss(graph, np.ones(len(graph), int)) == 3).all()
+    assert time.process_time() - begin < 4
+    monkeypatch.setattr(wordgraph, "CELLS_AT_ONCE", 100)
+    graph = tube(12)
+    assert (wordgraph._truss(graph, np.ones(48, int)) == peeled(graph)).all()
+
+
 def test_connectivity_of_words(monkeypatch):
     """Strength and connectivity over all pairs of words, against the tables of kinds."""
     monkeypatch.setattr(wordgraph, "ROWS_AT_ONCE", 3)
