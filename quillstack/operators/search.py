@@ -176,10 +176,23 @@ def match_phrase(
     leads = weighed.filter("lead").select("query_id", "field", "term")
     held = index.postings(weighed.filter("lead"), docs).join(leads, ["field", "term"]).select("query_id", "field", "doc_id", CELL)
     held = materialise(held, "query-leads")
+    # The documents of a cell go to its blocks by the bucket they are in, few as they are, and
+    # sort out the lists of words where these are read; only what is left meets the queries.
+    found = held.groupBy(CELL, "query_id", "field").agg(F.collect_set("doc_id").alias("ids"))
+    found = found.groupBy(CELL).agg(F.collect_list(F.struct("query_id", "field", "ids")).alias("found"))
+    found = found.withColumn("ids", F.array_distinct(F.flatten("found.ids")))
+    own = F.filter("found", lambda f: (f["query_id"] == F.col("query_id")) & (f["field"] == F.col("field")))
     begin = F.col("at") - F.col("offset")
+
+    def only(ids: Column) -> Column:
+        return F.filter("e", lambda e: F.array_contains(ids, e["entries"]["doc_id"]))
+
+    lists = index.lists(weighed, docs, positions=True).join(found.hint("shuffle_hash"), CELL)
+    lists = lists.withColumn("e", only(F.col("ids"))).filter(F.size("e") > 0).join(weighed, ["field", "term"])
     starts = (
-        index.postings(weighed, docs, positions=True).drop("tf").join(weighed, ["field", "term"])
-        .join(held.drop(CELL), ["query_id", "field", "doc_id"], "left_semi")
+        lists.withColumn("ids", F.flatten(F.transform(own, lambda f: f["ids"])))
+        .withColumn("e", F.explode_outer(only(F.col("ids")))).filter(F.col("e").isNotNull())
+        .select("*", "e.entries.doc_id", "e.entries.len", "e.positions")
         .select("query_id", CELL, "doc_id", "field", "n", "idf", "avg_len", "len", "offset", F.explode("positions").alias("at"))
         .groupBy("query_id", CELL, "doc_id", "field", "n", "idf", "avg_len", "len", begin.alias("begin"))
         .agg(F.count("*").alias("met"))

@@ -296,12 +296,13 @@ class SearchIndex:
         words = [r["term"] for r in wanted.select("term").distinct().limit(LISTED_WORDS + 1).collect()]
         return self.blocks if len(words) > LISTED_WORDS else self.blocks.filter(F.col("term").isin(words))
 
-    def postings(self, wanted: DataFrame | None = None, docs: DataFrame | None = None, positions: bool = False,
-                 blocks: DataFrame | None = None) -> DataFrame:
-        """(_cell, field, term, doc_id, tf, len) and ``positions`` of the live documents,
-        of the words of ``wanted`` (stored) and of the documents of ``docs`` where they
-        are given. Documents meet blocks by cell, in which both are bucketed: postings
-        are sorted out where they are read."""
+    def lists(self, wanted: DataFrame | None = None, docs: DataFrame | None = None, positions: bool = False,
+              blocks: DataFrame | None = None) -> DataFrame:
+        """(_cell, field, term, e): the postings of a word in a cell as one array of
+        ``entries`` and ``positions``, of the live documents, of the words of ``wanted``
+        (stored) and of the documents of ``docs`` where they are given. Documents meet
+        blocks by cell, in which both are bucketed: postings are sorted out where they
+        are read."""
         blocks = self.asked_blocks(wanted) if blocks is None else blocks
         entries = F.arrays_zip("entries", "positions") if positions else F.transform("entries", lambda e: F.struct(e.alias("entries")))
         rows = blocks.select(CELL, "field", "term", entries.alias("e"))
@@ -313,7 +314,12 @@ class SearchIndex:
         elif self._has_dead:
             kept = F.filter("e", lambda e: ~F.array_contains("_ids", e["entries"]["doc_id"]))
             rows = rows.join(self._dead(), CELL, "left").withColumn("e", F.when(F.col("_ids").isNull(), F.col("e")).otherwise(kept))
-        flat = rows.select(CELL, "field", "term", F.explode("e").alias("e"))
+        return rows.select(CELL, "field", "term", "e")
+
+    def postings(self, wanted: DataFrame | None = None, docs: DataFrame | None = None, positions: bool = False,
+                 blocks: DataFrame | None = None) -> DataFrame:
+        """(_cell, field, term, doc_id, tf, len) and ``positions``, a row for each posting of ``lists``."""
+        flat = self.lists(wanted, docs, positions, blocks).select(CELL, "field", "term", F.explode("e").alias("e"))
         return flat.select(CELL, "field", "term", "e.entries.*", *(["e.positions"] if positions else []))
 
     def _parts(self, name: str, schema: str) -> DataFrame:

@@ -215,3 +215,22 @@ def test_pages_and_suggestions(spark, index):
     offered = search.run(index, q, search.SearchRequest(suggest=True)).suggestions
     assert [(r["asked"], r["term"]) for r in offered.collect()] == [("quikc", "quick")]
     assert search.run(index, q, search.SearchRequest(mode="wildcard", suggest=True)).suggestions is None
+
+
+def test_phrase_postings_stay_where_they_are_read(spark):
+    """More documents hold the rarest word than are sent to all tasks: they meet the lists of
+    words by cell, and no posting is exchanged by its document."""
+    named = spark.range(4_000).select(F.sha2(F.col("id").cast("string"), 256).alias("doc_id"), F.when(
+        F.col("id") % 2 == 0, "the red fox and the dog").otherwise("red the fox and dog the").alias("text"))
+    built = SearchIndex.build(named, "doc_id", ("text",))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        found = search.match_phrase(built, queries(spark, "the red fox", "and the dog", "fox red"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        counts = {r["query_id"]: r["count"] for r in found.groupBy("query_id").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        built.close()
+    assert counts == {"0": 2_000, "1": 2_000}
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "doc_id" in line]
