@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import WordHashes, byte_words, release, rows, sequence_hashes
+from quillstack.llm.common import mix, release, rows, sequence_hashes
 from quillstack.llm.components import components
 from quillstack.session import materialise
 
@@ -28,15 +28,57 @@ CHOICES = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32])
 #: What verifying one shingle of a candidate costs, in index entries; meeting a
 #: document once costs as much as one entry.
 VERIFY_COST = 0.02
-
-
-def shingles(words: list[bytes], hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; a shorter text is one shingle."""
-    if not words:
-        return np.empty(0, np.uint64)
-    short = len(words) < width
-    length = len(words) if short else width
-    return np.unique(sequence_hashes(hashes.of(words), length, seed=length if short else 0))
+#: The six characters between words, and the masks of the lowest bytes of eight.
+SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG_WORD = 64
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the words of several texts, A-Z in lower case, and the number of
+    words up to the end of each text. Words are read eight bytes at a time, all at once;
+    the few longer than LONG_WORD bytes one by one."""
+    data = b"\n" + b"\n".join([t or b"" for t in texts]).lower() + b"\n" * 9
+    space = SPACES[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    with np.errstate(over="ignore"):
+        value = mix((eight[start] & LOW_BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        row = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+        at, left = start[row] + 8, size[row] - 8
+        while len(row):
+            value[row] = mix(value[row] * np.uint64(0xD6E8FEB86659FD93) + (eight[at] & LOW_BYTES[np.minimum(left, 8)]))
+            more = left > 8
+            row, at, left = row[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        value[i] = xxhash.xxh3_64_intdigest(data[start[i]: start[i] + size[i]])
+    ends = np.cumsum([len(t or b"") + 1 for t in texts], dtype=np.int64)
+    return value, np.searchsorted(start, ends)
+
+
+def shingles(texts: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its shingles; a shorter text is one
+    shingle. Runs of words over the end of a text are left out."""
+    values, ends = word_hashes(texts)
+    runs = sequence_hashes(values, width)
+    out, start = [], 0
+    for end in ends.tolist():
+        if end - start >= width:
+            own = runs[start: end - width + 1]
+            own.sort()
+            first = own[1:] != own[:-1]
+            out.append(own if first.all() else own[np.concatenate([[True], first])])
+        elif end > start:
+            out.append(sequence_hashes(values[start:end], end - start, seed=end - start))
+        else:
+            out.append(runs[:0])
+        start = end
+    return out
+
+
+def shingle_sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
+    return shingles(batch.column("text").cast(pa.binary()).to_pylist(), width)
 
 
 def needed(n, percent: int):
@@ -79,9 +121,8 @@ def sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``(id, n, digest, low)``: size and digest of each document's set, and the low
     halves of its prefix by hash order."""
     def run(batches):
-        hashes = WordHashes()
         for part in rows(batches):
-            found = [shingles(words, hashes, width) for words in byte_words(part, lower=True)]
+            found = shingle_sets(part, width)
             low = [s[: len(s) - int(needed(len(s), percent)) + 1].astype(np.uint32).tobytes() if len(s) else None
                    for s in found]
             yield pa.RecordBatch.from_arrays([
@@ -130,11 +171,9 @@ def frequent(members: DataFrame, docs: DataFrame, width: int, percent: int,
     shared = docs.sparkSession.sparkContext.broadcast(_table(token, n))
 
     def count_all(batches):
-        hashes = WordHashes()
         for part in rows(batches):
             chosen = []
-            for words in byte_words(part, lower=True):
-                own = shingles(words, hashes, width)
+            for own in shingle_sets(part, width):
                 first = own[: len(own) - int(needed(len(own), percent)) + 1]
                 _, level = ordered(first, *shared.value)
                 if len(own) and 4 * int((level >= 4).sum()) >= len(first):
@@ -153,11 +192,9 @@ def prefixes(docs: DataFrame, width: int, percent: int, table) -> DataFrame:
 
     def run(batches):
         hot, levels, background = shared.value
-        hashes = WordHashes()
         for part in rows(batches):
             out = []
-            for at, words in enumerate(byte_words(part, lower=True)):
-                own = shingles(words, hashes, width)
+            for at, own in enumerate(shingle_sets(part, width)):
                 n = len(own)
                 if not n:
                     continue
@@ -201,9 +238,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     involved = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "involved")
 
     def build(batches):
-        hashes = WordHashes()
         for part in rows(batches):
-            found = [shingles(words, hashes, width) for words in byte_words(part, lower=True)]
+            found = shingle_sets(part, width)
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "tokens"])
 

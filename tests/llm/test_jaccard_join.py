@@ -110,3 +110,21 @@ def test_odd_rows(spark):
             (None, 1, None), (7, 1, 7)]
     assert got == sorted(want, key=str)
     assert jj.join(docs.limit(0)).count() == 0
+
+
+def test_words_of_many_texts_are_hashed_at_once():
+    """The words of a whole batch without a Python step for each: equal words have equal
+    values, and the shingles of each text are those of the text alone."""
+    rng = random.Random(3)
+    pieces = ["a", "B", "b", "\u00e9", "\x00", "\x1f", "\u00a0", " ", "\t", "\x0b", "\n", "wordofnine", "Long" * 20]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(60))).encode() for _ in range(800)]
+    texts += [None, b"", b" ", b"x" * 8, b"x" * 9, b"x" * 64, b"x" * 65, b"a\x00", b"a", b"a b c", b"a b c d"]
+    value, ends = jj.word_hashes(texts)
+    words = [(t or b"").lower().split() for t in texts]
+    flat = [w for ws in words for w in ws]
+    assert ends.tolist() == np.cumsum([len(ws) for ws in words]).tolist()
+    assert len(set(flat)) == len(set(value.tolist())) == len(set(zip(flat, value.tolist())))
+    for text, own in zip(texts, jj.shingles(texts)):
+        assert len(own) == len(plain_set((text or b"").decode()))
+        assert np.array_equal(own, jj.shingles([text])[0])
+    assert jj.shingles([]) == []
