@@ -5,6 +5,8 @@ import pyarrow as pa
 import pytest
 
 from quillstack.functions import wordgraph
+from quillstack.operators import keyphrase
+from quillstack.operators.sentences import with_token_stream
 
 
 def texts(rng, n):
@@ -19,6 +21,17 @@ def texts(rng, n):
     return pa.array(words, pa.list_(pa.string())), pa.array(sentences, pa.list_(pa.int32()))
 
 
+def lines(words, sentences):
+    """The same as strings: a line for each sentence."""
+    out = []
+    for w, s in zip(words.to_pylist(), sentences.to_pylist()):
+        parts = [[] for _ in range(max(s, default=0) + 1)] if w is not None else None
+        for word, number in zip(w or [], s or []):
+            parts[number].append(word or "")
+        out.append(None if w is None else "\n".join(" ".join(p) for p in parts))
+    return pa.array(out, pa.string())
+
+
 def peak_mb(function, *args):
     tracemalloc.start()
     function(*args)
@@ -27,10 +40,17 @@ def peak_mb(function, *args):
     return peak
 
 
-def scorer(monkeypatch, make, *args):
+def ranker(monkeypatch, algos=tuple(keyphrase.WAYS), most=None):
     """The function that a Spark column would call."""
-    monkeypatch.setattr(wordgraph, "_once", lambda function: lambda *columns: function)
-    return make(None, None, *args)
+    class Direct:
+        def __init__(self, function, kind):
+            self.function = function
+
+        def asNondeterministic(self):
+            return lambda *columns: self.function
+
+    monkeypatch.setattr(wordgraph.F, "arrow_udf", Direct)
+    return wordgraph.ranked_phrases(None, {a: keyphrase.WAYS[a] for a in algos}, most)
 
 
 @pytest.mark.parametrize("limits", [
@@ -58,29 +78,61 @@ def test_connectivity_without_words():
         assert len(wordgraph._connectivities(stream)) == 0
 
 
-@pytest.mark.parametrize("make, args", [
-    (wordgraph.page_rank_scores, (1, False)), (wordgraph.page_rank_scores, (3, True)), (wordgraph.scake_scores, ()),
-])
-def test_scores_in_pieces(monkeypatch, make, args):
-    """The same scores in pieces, for a batch that is itself a slice."""
-    run = scorer(monkeypatch, make, *args)
-    words, sentences = texts(np.random.default_rng(6), 30)
-    whole = run(words, sentences)
-    monkeypatch.setattr(wordgraph, "TOKENS_AT_ONCE", 100)
-    assert run(words, sentences).equals(whole)
-    assert run(words.slice(7, 20), sentences.slice(7, 20)).equals(whole.slice(7, 20))
-    assert len(run(words.slice(0, 0), sentences.slice(0, 0))) == 0
+def test_phrases_in_pieces(monkeypatch):
+    """The same phrases in pieces, for a batch that is itself a slice."""
+    run = ranker(monkeypatch)
+    batch = lines(*texts(np.random.default_rng(6), 30))
+    whole = run(batch)
+    monkeypatch.setattr(wordgraph, "BYTES_AT_ONCE", 300)
+    assert run(batch).equals(whole)
+    assert run(batch.slice(7, 20)).equals(whole.slice(7, 20))
+    assert len(run(batch.slice(0, 0))) == 0
+    few = ranker(monkeypatch, most=2)(batch).to_pylist()
+    assert few == [{algo: found[:2] for algo, found in row.items()} for row in whole.to_pylist()]
+
+
+def test_lines_hold_the_stream(spark):
+    texts = [(1, "The court, of law. Ruled x\nnothing? ... Ab\u00c9\u0130 U.S. end"), (2, ""), (3, None), (4, "  "), (5, "the of")]
+    rows = with_token_stream(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id").collect()
+    words, sentences = wordgraph._opened(pa.array([r["word_lines"] for r in rows], pa.string()))
+    for k, r in enumerate(rows):
+        if r["words"]:
+            assert words[k].as_py() == r["words"] and sentences[k].as_py() == r["word_sentence"]
+        else:
+            assert not any(words[k].as_py() or [])
+
+
+def test_phrases_in_order(monkeypatch):
+    """Runs, sums, order and equal phrases restated word by word."""
+    words, sentences = texts(np.random.default_rng(8), 60)
+    found = ranker(monkeypatch, ["textrank"])(lines(words, sentences)).field("textrank").to_pylist()
+    for k, (w, s) in enumerate(zip(words.to_pylist(), sentences.to_pylist())):
+        stream = wordgraph._Stream(words.slice(k, 1), sentences.slice(k, 1))
+        scores = dict(zip(stream.place, keyphrase.WAYS["textrank"][0](stream))) if w else {}
+        wanted, run = set(), []
+        for i in range(len(w or []) + 1):
+            if run and (i == len(w) or w[i] is None or s[i] != s[i - 1]):
+                total = round(sum(scores[j] for j in run), 9)
+                wanted.add((-total, " ".join(w[j] for j in run)))
+                run = []
+            if i < len(w or []) and w[i] is not None:
+                run.append(i)
+        assert [(-p["score"], p["phrase"]) for p in found[k]] == sorted(wanted)
+
+
+def test_rounded_as_spark(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([[0.0, 0.5e-9, 1.5e-9, 2.5e-9, 0.1234567885, 4e6, 8388608.0000000015], rng.random(500),
+                        np.round(rng.random(500) * 10.0 ** rng.integers(-6, 8, 500), 9) + 0.5e-9, rng.random(500) * 1e9])
+    rows = spark.createDataFrame([(float(v),) for v in x], "x double").selectExpr("x", "round(x, 9) AS r").collect()
+    assert (wordgraph.half_up(np.array([r["x"] for r in rows])) == [r["r"] for r in rows]).all()
 
 
 def test_memory_does_not_grow_with_the_batch(monkeypatch):
-    """1.5 million words in a batch; 547 MB before they were scored in pieces."""
+    """1.5 million words in a batch."""
     rng = np.random.default_rng(7)
-    flat = pa.DictionaryArray.from_arrays(
-        pa.array(rng.integers(0, 5_000, 1_500_000), pa.int32()), pa.array([f"w{i}" for i in range(5_000)])).cast(pa.string())
-    offsets = pa.array(np.arange(0, 1_500_001, 300), pa.int32())
-    words = pa.ListArray.from_arrays(offsets, flat)
-    sentences = pa.ListArray.from_arrays(offsets, pa.array(np.arange(1_500_000) % 300 // 10, pa.int32()))
-    assert peak_mb(scorer(monkeypatch, wordgraph.page_rank_scores, 3, True), words, sentences) < 120
+    batch = pa.array(["\n".join(" ".join(f"w{i}" for i in rng.integers(0, 5_000, 10)) for _ in range(30))] * 5_000)
+    assert peak_mb(ranker(monkeypatch, ["pytextrank"], 50), batch) < 150
 
 
 def test_memory_of_many_links_that_go_at_once():
